@@ -51,12 +51,13 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     by = places.select("h1", "h2", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "line_no", "doc_hash")))
     same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("line_no") == F.col("p_line_no")) & (F.col("doc_hash") == F.col("p_doc_hash"))
     found = _lines(docs).join(F.broadcast(by) if few else by, same).select("h1", "h2", "words", _place().alias("place")).dropDuplicates(["h1", "h2"])
-    lines = written(found, "near-lines")
+    # ids that grow in the order of places: partitions of a sort are in order, and so are the ids in each
+    lines = written(found.orderBy("place").select("h1", "h2", "words", F.monotonically_increasing_id().alias("id")), "near-lines")
 
     n = F.size("words")
-    word = lines.select("h1", "h2", "place", n.alias("n"), F.posexplode("words").alias("pos", "word"))
-    word = word.select("h1", "h2", "place", "n", "pos", F.xxhash64("word", "pos").alias("f"), F.xxhash64("word", F.col("n") - 1 - F.col("pos")).alias("g"))
-    line = Window.partitionBy("h1", "h2")
+    word = lines.select("id", n.alias("n"), F.posexplode("words").alias("pos", "word"))
+    word = word.select("id", "n", "pos", F.xxhash64("word", "pos").alias("f"), F.xxhash64("word", F.col("n") - 1 - F.col("pos")).alias("g"))
+    line = Window.partitionBy("id")
     so_far = line.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     word = word.withColumn("fs", F.bit_xor("f").over(so_far)).withColumn("gs", F.bit_xor("g").over(so_far)).withColumn("total", F.bit_xor("g").over(line))
     before = F.col("fs").bitwiseXOR(F.col("f"))
@@ -65,17 +66,17 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     wiped = at(F.col("pos"), before, after, F.col("n") - 1, 1)
     gap = at(F.col("pos"), before, after.bitwiseXOR(F.col("g")), F.col("n"), 0)
     last = at(F.col("n"), F.col("fs"), F.lit(0).cast("long"), F.col("n"), 0)
-    variants = word.select("h1", "h2", "place", F.explode(F.when(F.col("pos") == F.col("n") - 1, F.array(wiped, gap, last)).otherwise(F.array(wiped, gap))).alias("x")).select("h1", "h2", "place", "x.*")
-    earliest = lambda kind: F.min(F.when(F.col("wiped") == kind, F.struct("place", "h1", "h2"))).alias(f"e{kind}")
+    variants = word.select("id", F.explode(F.when(F.col("pos") == F.col("n") - 1, F.array(wiped, gap, last)).otherwise(F.array(wiped, gap))).alias("x")).select("id", "x.*")
+    earliest = lambda kind: F.min(F.when(F.col("wiped") == kind, F.col("id"))).alias(f"e{kind}")
     groups = variants.groupBy("key").agg(F.count("*").alias("k"), earliest(1), earliest(0)).where("k > 1 and e1 is not null")
     other = F.when(F.col("wiped") == 0, F.col("e1")).otherwise(F.least("e1", "e0"))
-    pairs = variants.join(groups, "key").withColumn("e", other).where(F.col("e.place") < F.col("place"))
+    pairs = variants.join(groups, "key").withColumn("e", other).where("e < id")
     o_wiped = F.when((F.col("wiped") == 1) & F.col("e").eqNullSafe(F.col("e0")), 0).otherwise(1)
-    pairs = pairs.select("h1", "h2", "pos", "wiped", F.col("e.h1").alias("o1"), F.col("e.h2").alias("o2"), o_wiped.alias("o_wiped"))
-    own, theirs = lines.select("h1", "h2", "words"), lines.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("o_words"))
+    pairs = pairs.select("id", "pos", "wiped", "e", o_wiped.alias("o_wiped"))
+    theirs = lines.select(F.col("id").alias("e"), F.col("words").alias("o_words"))
     tail = lambda c, wiped: F.slice(c, F.col("pos") + 1 + F.col(wiped), F.greatest(F.size(c), F.lit(1)))
     equal = (F.slice("words", F.lit(1), F.col("pos")) == F.slice("o_words", F.lit(1), F.col("pos"))) & (tail("words", "wiped") == tail("o_words", "o_wiped"))
-    return pairs.join(own, ["h1", "h2"]).join(theirs, ["o1", "o2"]).where(equal).select("h1", "h2").distinct()
+    return pairs.join(lines, "id").join(theirs, "e").where(equal).select("h1", "h2").distinct()
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
