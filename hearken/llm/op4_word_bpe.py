@@ -58,15 +58,19 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Words(dict):
-    """ids of words as bytes; holds `limit` words, then starts anew, so memory is bounded and only speed varies."""
+    """ids of words as bytes, in two generations of `limit` words each: when one is full the older goes, but words
+    met again move to the newer. So memory is bounded, and only speed depends on it."""
 
     def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
         if len(word) <= 48:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -79,7 +83,7 @@ class WordBpe:
     special ids. An empty text has no ids.
     """
 
-    def __init__(self, path: str, cached_words: int = 250_000):
+    def __init__(self, path: str, cached_words: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -162,13 +166,16 @@ class WordBpe:
             return _packed(self._piece(word))
         return b"".join(map(self.cache.__getitem__, pieces))
 
-    def _plain(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str]:
+        """The normalized words of a text without special strings."""
         text = unicodedata.normalize("NFC", text)
         if not text.isascii() and _RARE.search(text):
             text = text.translate(_LOWER)
         text = text.lower()
-        words = text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w]
-        return b"".join(map(self.cache.__getitem__, words))
+        return text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w]
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self.words(text)))
 
     def encode(self, text: str) -> bytes:
         if self.special_at is None or not self.special_at.search(text):
