@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from hearken.sources import packs as P
 
@@ -98,13 +98,44 @@ def fold(t: Column) -> Column:
     return remove_accents(F.lower(F.trim(t)))
 
 
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
+_TOKEN = re.compile(r"(?:[^\W_]|[$@€!|])+")
+_FOLD = str.maketrans(*CONFUSABLE)
+
+
+def _repair(t: str) -> tuple[str, bool, bool, bool]:
+    clean = t if t.isascii() else re.sub(INVISIBLE, "", unicodedata.normalize("NFKC", t)).translate(_FOLD)
+    low = clean.strip().lower()
+    joined = _SPACED.sub(lambda m: re.sub(r"\s+", "", m[0]), low)
+    plain = _TOKEN.sub(lambda m: m[0].translate(LEET) if re.search(r"[^\W\d_]", m[0]) and re.search(r"[0-9$@€!|]", m[0]) else m[0], joined)
+    return plain, clean != t, joined != low, plain != joined
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), *(StructField(x, BooleanType()) for x in ("unicode", "spacing", "leet"))]))
+def _repaired(texts: pd.Series) -> pd.DataFrame:
+    """Unicode, case, spacing and leet repairs in one pass, with what each of them changed."""
+    return pd.DataFrame([_repair(t) for t in texts.fillna("")], columns=["text", "unicode", "spacing", "leet"])
+
+
+def normalize_surface(t: str) -> str:
+    """What normalize_steps makes of a dictionary surface, on the driver."""
+    t = _repair(t)[0]
+    for raw, canonical in P.SYMBOLS:
+        t = t.replace(raw, f" {canonical} ")
+    t = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", t))
+    t = re.sub(r"(?s)(.)\1{2,}", r"\1\1", t)
+    for raw, canonical in P.MISSPELLINGS:
+        t = re.sub(rf"(?i)(?<![A-Za-z0-9_]){raw}(?![A-Za-z0-9_])", canonical, t)
+    t = " ".join(P.ABBREVIATIONS.get(re.sub("[^a-z0-9']", "", w), w) for w in re.split(r"\s+", t))
+    for find, put in P.PHONETIC:
+        t = re.sub(find, put.replace("$", "\\"), t)
+    return t.strip()
+
+
 def normalize_steps(t: Column, source: Column | None = None) -> Column:
     """struct(text, unicode, spacing, leet): the normalized text and which evasion repairs changed it."""
-    clean = sanitize_unicode(t)
-    low = F.lower(F.trim(clean))
-    joined = collapse_spacing(low)
-    plain = de_leet(joined)
+    s = _repaired(t)
     voice = F.lit(False) if source is None else F.coalesce(source == "voice_transcript", F.lit(False))
-    base = F.when(voice, preprocess_voice(t)).otherwise(plain)
-    text = phonetic(expand_abbreviations(fix_misspellings(collapse_repeated(remove_accents(expand_symbols(base))))))
-    return F.struct(text.alias("text"), (~voice & (clean != t)).alias("unicode"), (~voice & (joined != low)).alias("spacing"), (~voice & (plain != joined)).alias("leet"))
+    base = s["text"] if source is None else F.when(voice, preprocess_voice(t)).otherwise(s["text"])
+    text = phonetic(expand_abbreviations(fix_misspellings(collapse_repeated(_nfd(expand_symbols(base))))))
+    return F.struct(text.alias("text"), *((~voice & s[x]).alias(x) for x in ("unicode", "spacing", "leet")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ def cap(messages: DataFrame, config: EngineConfig = CONFIG) -> DataFrame:
     return at.where(stays).withColumn("text", F.substring("text", 1, config.max_chars)).drop("rn", "n")
 
 
+def normalize_packs(packs: tuple[P.Pack, ...]) -> tuple[P.Pack, ...]:
+    """Packs whose surfaces went through the same normalization as the texts."""
+    to = lambda x: T.normalize_surface(x) or x
+    return tuple(replace(p, terms=tuple(replace(t, term=to(t.term), variants=tuple(map(to, t.variants))) for t in p.terms)) for p in packs)
+
+
 def rules_fired(categories: Column, n_messages: Column, packs: tuple[P.Pack, ...]) -> Column:
     """Ids of the multi-category rules that hold; a rule with both clauses may be listed twice. categories: an array
     of 'pack:category'."""
@@ -81,9 +89,10 @@ def analyze(messages: DataFrame, packs: tuple[P.Pack, ...] = (P.MX,), config: En
     """One row per conversation of messages, silent ones included (LOW). With an age_band column in messages the
     weights of that band apply. Order of decisions: risk, temporal floor, ceiling, actor floor, reciprocity, escalation."""
     P.validate(packs)
+    packs = normalize_packs(packs) if full_normalize else packs
     capped = cap(messages, config)
     steps = T.normalize_steps(F.col("text"), F.col("source")) if full_normalize else F.struct(T.fold(F.col("text")).alias("text"), *(F.lit(False).alias(x) for x in ("unicode", "spacing", "leet")))
-    norm = capped.withColumn("s", steps).withColumn("raw", F.col("text")).withColumn("text", F.col("s.text"))
+    norm = capped.withColumn("s", steps).withColumn("raw", F.col("text")).withColumn("text", F.col("s.text")).persist()  # read by every layer below
     age = F.max("age_band") if "age_band" in messages.columns else F.lit(None).cast("string")
     spine = norm.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max("ts_ms").alias("now"), age.alias("age_band"), *(F.bool_or(f"s.{x}").cast("int").alias(x) for x in ("unicode", "spacing", "leet")))
     markers = F.col("unicode") + F.col("spacing") + F.col("leet")
