@@ -20,12 +20,14 @@ MIN_WORDS = 5
 BROADCAST_ROWS = 200_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_hash, line_no, words of every line that holds a word."""
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, doc_hash, line_no, line of every line."""
     text = text_of("text")
-    words = F.filter(F.split(F.col("line"), r"[\t-\r ]+"), lambda w: w != "")
-    lines = docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc_id", "doc_hash", "line_no", words.alias("words")).where(F.size("words") > 0)
+    return docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+
+
+def _words() -> Column:
+    return F.filter(F.split(F.col("line"), r"[\t-\r ]+"), lambda w: w != "")
 
 
 def _place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
@@ -50,7 +52,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     few = places.count() <= BROADCAST_ROWS
     by = places.select("h1", "h2", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "line_no", "doc_hash")))
     same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("line_no") == F.col("p_line_no")) & (F.col("doc_hash") == F.col("p_doc_hash"))
-    found = _lines(docs).join(F.broadcast(by) if few else by, same).select("h1", "h2", "words", _place().alias("place")).dropDuplicates(["h1", "h2"])
+    found = _raw_lines(docs).join(F.broadcast(by) if few else by, same).select("h1", "h2", _words().alias("words"), _place().alias("place")).dropDuplicates(["h1", "h2"])
     # ids that grow in the order of places: partitions of a sort are in order, and so are the ids in each
     lines = written(found.orderBy("place").select("h1", "h2", "words", F.monotonically_increasing_id().alias("id")), "near-lines")
 
@@ -89,7 +91,8 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     one document, treated alike; other columns pass through; no documents give no rows.
     """
     h = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.size("words"), F.col("words")).alias("h2")]
-    lines = written(_lines(docs).select("doc_id", "doc_hash", "line_no", *h, _halves().alias("halves")), "lines")
+    worded = _raw_lines(docs).select("doc_id", "doc_hash", "line_no", _words().alias("words")).where(F.size("words") > 0)
+    lines = written(worded.select("doc_id", "doc_hash", "line_no", *h, _halves().alias("halves")), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("k"), F.min("halves").alias("halves"))
     near = written(_near_lines(docs, firsts), "near").withColumn("near", F.lit(True))
     flagged = firsts.select("h1", "h2", "first", "k").join(near, ["h1", "h2"], "left").where("k > 1 or near")
