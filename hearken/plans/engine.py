@@ -143,4 +143,4 @@ def analyze(messages: DataFrame, packs: tuple[P.Pack, ...] = (P.MX,), config: En
     plan = F.when(F.col("r") == 0, "ALLOW").when(imminent, "HARD_BLOCK").when(F.col("r") >= 2, F.when(F.col("aggressor").isNotNull(), "SILENT_OBSERVE+RESTRICT").otherwise("SILENT_OBSERVE")).otherwise("SOFT_WARN")
     risk = F.get(F.array(*map(F.lit, RISKS)), F.col("r"))
     text = lambda c: F.array_join(arr(c), ",")
-    return d.select("conv_id", "n_messages", "score", risk.alias("risk"), "escalate", reason.alias("reason"), plan.alias("plan"), F.when(F.col("r") == 0, "NINGUNA").otherwise("CAPTACION").alias("stage"), text("categories").alias("categories"), text("terms").alias("terms"), text("mcr").alias("mcr"), text("cr").alias("cr"), text("signals").alias("signals"), text("dampeners").alias("dampeners"), F.array_join(tcr, ",").alias("temporal_rules"), "velocity", F.coalesce("window_s", F.lit(0)).alias("window_s"), "aggressor", "concentration", "age_band", F.lit(",".join(f"{p.id}={p.version}" for p in packs)).alias("versions"))
+    return d.select("conv_id", "n_messages", "score", risk.alias("risk"), "escalate", reason.alias("reason"), plan.alias("plan"), F.when(F.col("r") == 0, "NINGUNA").otherwise("CAPTACION").alias("stage"), text("categories").alias("categories"), text("terms").alias("terms"), text("mcr").alias("mcr"), text("cr").alias("cr"), text("signals").alias("signals"), text("dampeners").alias("dampeners"), F.array_join(tcr, ",").alias("temporal_rules"), "velocity", F.coalesce("window_s", F.lit(0)).alias("window_s"), "aggressor", F.coalesce("concentration", F.lit(0.0)).alias("concentration"), "age_band", F.lit(",".join(f"{p.id}={p.version}" for p in packs)).alias("versions"))
