@@ -7,6 +7,9 @@ keys give candidates, whose fingerprints are compared. Equal fingerprints count
 Only which texts hang together is asked for. First each member of a bucket is compared with the bucket's least
 fingerprint, so a large group of near copies becomes one component in linear work; then only pairs from different
 components are compared, each at the first key they share.
+
+For a similarity of shingle sets itself (one_of_each) candidates come from prefixes of the sets, not from fingerprints,
+and their shingles are compared.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ SEED = 42
 #: First bit and length of the segments of a 64-bit word.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _CHUNK = 16_384  # shingles whose bits are counted at a time
+#: Up to so many texts to compare are met by a broadcast of ids and hashes; beyond, texts are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprints_of(text: str, shingle: int = 4, words: int = 1) -> list[int]:
@@ -138,22 +143,116 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, max_bits:
     return own.join(found, names)
 
 
-def bits_for_similarity(similarity: float, words: int) -> int:
-    """The bits that may differ for shingle sets of at least this Jaccard similarity, of 64 * words.
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; words and short texts as for fingerprints."""
+    parts = text.encode("utf-8").lower().split()
+    k = min(len(parts), shingle)
+    w = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts))
+    h = np.full(len(parts) - k + 1 if k else 0, k, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(h)]
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def _ranked(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Sorted hashes with the common ones last, so that prefixes seldom hold what many texts share."""
+    known = np.isin(found, common, assume_unique=True)
+    return np.concatenate([found[~known], found[known]])
 
-    Equally large sets of similarity s have cosine 2s / (1 + s), and each bit differs with probability angle / pi;
-    the bound is one standard deviation above the mean, so five of six pairs at the similarity itself are within.
+
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles in many texts, from a sixteenth of them. They only decide an order, not what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], ["h"])
+
+    some = docs.select(text_of().alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(16)) == 0)
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("k")).where("k >= 4")
+    return np.array(sorted(r.h for r in counts.orderBy(F.desc("k"), "h").limit(50_000).collect()), np.int64).view(np.uint64)
+
+
+def _shared(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, hash (of the text), s (a hash of the shingle set), n (its size) and prefix of every row of docs.
+
+    Any two sets of this similarity share a shingle of their prefixes, the first n - ceil(similarity * n) + 1 in an
+    order that is the same for all.
     """
-    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
-    return math.floor(n * p + math.sqrt(n * p * (1 - p)))
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            own = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+            first = [_ranked(x, common.value)[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64))
+            s = pa.array(np.array(own, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s, pa.array([len(x) for x in sets], pa.int32()), prefix], ["doc_id", "hash", "s", "n", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("t")).mapInArrow(run, f"doc_id {kind}, hash long, s long, n int, prefix array<long>")
+
 
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """u, v of the pairs (u, v) of sets whose Jaccard similarity is at least this; texts are read for these sets only."""
+    pairs = written(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
+    of = written(reps.join(needed, "s").select("s", F.col("rep.doc_id").alias("__id"), F.col("rep.hash").alias("__hash")), "compared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["s", "x"])
 
-def one_of_each(docs: DataFrame, shingle: int = 5, words: int = 2, similarity: float = 0.8) -> DataFrame:
+    by = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
+    rows = docs.select("doc_id", text_of().alias("t"), F.xxhash64(text_of()).alias("h")).join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash")))
+    sets = written(rows.select("s", "t").mapInArrow(run, "s long, x array<long>"), "sets").dropDuplicates(["s"])
+    both = F.size(F.array_intersect("a", "b"))
+    compared = pairs.join(sets.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
+    return written(compared.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "similar")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, hash (XXH64 of the text by Spark) and component_id (the smallest doc_id reachable) of every row of docs.
+
+    Two texts are linked if the Jaccard similarity of their shingle sets is at least `similarity`: every such pair is
+    found by its prefixes, and none is linked without its shingles having been compared. As in linked_components,
+    members of a bucket first meet its least one; then those of different components meet. Texts without words are
+    alike. A component without any doc_id has a null component_id.
+    """
+    small_batches(docs.sparkSession)
+    own = written(_shared(docs, shingle, similarity), "shingle-sets")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("rep")
+    reps = written(own.groupBy("s").agg(rep, F.first("n").alias("n")), "distinct-sets")
+    sized = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9
+    # what two prefixes share is all that the sets share up to the end of one of them; the rest of that set is the most to come
+    rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) for c in ("n", "m"))) - 1
+    enough = F.col("k") + rest >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
+    counted = lambda met: met.where(sized).groupBy("u", "v").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough).select("u", "v")
+    bucket = Window.partitionBy("key")
+    keyed = own.select("s", "n", F.explode("prefix").alias("key")).withColumn("lo", F.min("s").over(bucket)).withColumn("hi", F.max("s").over(bucket))
+    keyed = written(keyed.where("lo <> hi").select("key", "s", "n").distinct(), "buckets")
+    led = keyed.withColumn("b", F.min(F.struct("s", F.col("n").alias("m"))).over(bucket)).select("s", "n", "b.m", F.col("b.s").alias("u"))
+    star = _verified(counted(led.where("s <> u").withColumnRenamed("s", "v")), docs, reps, shingle, similarity)
+    grouped = keyed.join(components(star).select(F.col("node").alias("s"), "component"), "s", "left").withColumn("g", F.coalesce("component", "s"))
+    mixed = grouped.withColumn("lo", F.min("g").over(bucket)).withColumn("hi", F.max("g").over(bucket)).where("lo <> hi").select("key", "s", "n", "g")
+    other = mixed.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("g").alias("o"))
+    pairs = mixed.join(other, "key").where("s < v and g <> o").withColumnRenamed("s", "u")
+    edges = star.unionByName(_verified(counted(pairs), docs, reps, shingle, similarity))
+    groups = written(reps.join(components(edges).withColumnRenamed("node", "s"), "s", "left").select("s", "rep", F.coalesce("component", "s").alias("group")), "groups")
+    roots = groups.groupBy("group").agg(F.min("rep").alias("root"))
+    return own.select("doc_id", "hash", "s").join(groups.join(roots, "group").select("s", F.col("root.doc_id").alias("component_id")), "s").drop("s")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all columns, with one row of each group of near duplicates: that of the smallest doc_id.
 
     Rows without doc_id stay; of rows that share a doc_id, all copies of one document, one stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, words, bits_for_similarity(similarity, words))
+    found = similar_documents(docs.select("doc_id", "text"), shingle, similarity)
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component_id").alias("c"))
     ids = written(ids.where("k > 1 or c <> doc_id").select(F.col("doc_id").alias("__id"), (F.col("c") == F.col("doc_id")).alias("__stays")), "dropped")
     same = F.col("doc_id") == F.col("__id")

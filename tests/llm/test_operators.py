@@ -141,6 +141,36 @@ def test_simhash_against_brute_force(docs, rows):
     assert len(ids) == len(set(ids)) and 8 in ids and 48 not in ids
 
 
+def test_similar_documents_against_brute_force(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(400)}" for _ in range(n)]
+    texts = ["", None, "one two three four five six", "one two three four"]
+    for n in (40, 120, 300):
+        for edits in (0, 1, 2, 3, 4, 5, 7):
+            for _ in range(6):
+                a = fresh(n)
+                b = list(a)
+                for at in rng.sample(range(n), edits * n // 120 + (edits > 0)):
+                    b[at] = fresh(1)[0]
+                texts += [" ".join(a), " ".join(b)]
+    texts = [t if t is None or k % 5 else t + " this passage stands in many of the texts" for k, t in enumerate(texts)]
+    words = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(texts)))
+    links = 0
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) or 1) >= 0.8 or sets[a] == sets[b]:
+                links += 1
+                root = [root[a] if r == root[b] else r for r in root] if root[a] < root[b] else [root[b] if r == root[a] else r for r in root]
+    assert 30 < links < 126
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op5_simhash.similar_documents(d).collect()}
+    assert got == dict(enumerate(root))
+    assert {r.doc_id for r in op5_simhash.one_of_each(d).collect()} == set(root)
+    assert op5_simhash.one_of_each(d.limit(0)).count() == 0
+
+
 def test_lines_against_brute_force(docs, rows):
     def near(a, b):
         if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < op8_line_dedup.MIN_WORDS:
