@@ -99,7 +99,12 @@ def analyze(messages: DataFrame, packs: tuple[P.Pack, ...] = (P.MX,), config: En
     terms = M.corroborated(M.claim(M.match_surfaces(norm, packs)))
     damp = M.pattern_layer(norm)
     signal_hits = M.pattern_flags(norm).select("conv_id", "ts_ms", "msg_idx", F.explode(F.array(*(F.when(F.col(k), F.struct(F.lit(k).alias("id"), F.lit(v[2]).alias("category"))) for k, v in P.SIGNALS.items()))).alias("e")).where("e is not null").groupBy("conv_id", "e").agg(F.min_by("ts_ms", "msg_idx").alias("ts_ms")).select("conv_id", "e.category", "ts_ms", F.lit(10_000).alias("ord"))
-    hits = terms.select("conv_id", "category", "ts_ms", F.col("msg_idx").alias("ord")).unionByName(signal_hits)
+    # features, evasion and accumulated intents belong to no single message: they count at the latest one
+    whole = damp.select("conv_id", "features", F.array_contains("rules", "CR-013").alias("accumulated")).join(spine.select("conv_id", "now", (markers > 0).alias("evasion")), "conv_id")
+    if_ = lambda c, category: F.when(F.col(c), F.array(F.lit(category).cast("string"))).otherwise(F.array().cast("array<string>"))
+    categories = F.concat(F.transform("features", lambda _: F.lit(None).cast("string")), if_("evasion", None), if_("accumulated", "manipulacion_social"))
+    whole_hits = whole.select("conv_id", F.explode(categories).alias("category"), F.col("now").alias("ts_ms"), F.lit(2**31 - 1).alias("ord"))
+    hits = terms.select("conv_id", "category", "ts_ms", F.col("msg_idx").alias("ord")).unionByName(signal_hits).unionByName(whole_hits)
 
     active = F.when(F.size("signals") > 0, F.array().cast("array<string>")).otherwise(F.col("dampeners"))
     factor = F.lit(1.0)

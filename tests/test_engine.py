@@ -103,6 +103,20 @@ def test_velocity_needs_three_hits(spark):
     assert {r.conv_id: r.velocity for r in E.velocity(hits).collect()} == {1: False, 2: True, 3: False}
 
 
+def test_hits_of_the_whole_conversation_count(spark):
+    pack = hot(("zorbal", "reclutamiento", 3), ("mirtal", "aislamiento", 3))
+    offer, secret = (P.LEXICONS[P.FEATURES[f][0][0]][0] for f in ("F001", "F005"))
+    r = one(spark, "zorbal", f"{offer}, {secret}", packs=pack)  # one term, two features
+    assert r.velocity and r.window_s == 60
+    r = one(spark, "zorbal", "mirtal", "z\u200bor", packs=pack)  # two terms and the evasion
+    assert r.velocity and r.window_s == 120
+    assert not one(spark, "zorbal", "mirtal", "zor", packs=pack).velocity
+    alone = hot(("mirtal", "aislamiento", 3), ("dulmar", "aislamiento", 3))
+    r = one(spark, "mirtal a the", "the and", "dulmar in the", packs=alone, gap=4 * DAY)  # CR-013 adds CONFIANZA
+    assert r.cr.endswith("CR-013") and "manipulacion_social" not in r.categories and r.temporal_rules == "TCR-002"
+    assert one(spark, "mirtal a the", "the and", "dulmar", packs=alone, gap=4 * DAY).temporal_rules == ""
+
+
 def test_evasion_and_voice(spark):
     f = lambda t, s=None: spark.range(1).select(T.normalize_steps(F.lit(t), F.lit(s)).alias("s")).first().s
     assert f("ｚｏｒ").text == "zor" and f("ｚｏｒ").unicode
