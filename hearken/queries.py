@@ -102,7 +102,7 @@ def normalize(spark, d):
 
 @query("evasion_markers")
 def evasion_markers(spark, d):
-    s = _t(spark, d, "documents").select("doc_id", T.normalize_steps(F.substring("text", 1, CONFIG.max_chars)).alias("s"))
+    s = _t(spark, d, "documents").select("doc_id", T.normalize_steps(F.col("text")).alias("s"))
     n = F.col("s.unicode").cast("int") + F.col("s.spacing").cast("int") + F.col("s.leet").cast("int")
     return s.select("doc_id", n.alias("markers"), F.least(n * 2, F.lit(6)).alias("bonus"))
 

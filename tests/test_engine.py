@@ -117,6 +117,13 @@ def test_hits_of_the_whole_conversation_count(spark):
     assert one(spark, "mirtal a the", "the and", "dulmar", packs=alone, gap=4 * DAY).temporal_rules == ""
 
 
+def test_evasion_markers_read_whole_texts(spark, tmp_path):
+    far = "river stone " * 400
+    spark.createDataFrame([(1, far + "z\u200bor"), (2, far)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.markers, r.bonus) for r in Q.QUERIES["evasion_markers"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2), 2: (0, 0)}
+
+
 def test_evasion_and_voice(spark):
     f = lambda t, s=None: spark.range(1).select(T.normalize_steps(F.lit(t), F.lit(s)).alias("s")).first().s
     assert f("ｚｏｒ").text == "zor" and f("ｚｏｒ").unicode
