@@ -216,7 +216,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, hash (XXH64 of the text by Spark) and component_id (the smallest doc_id reachable) of every row of docs.
+    """doc_id, hash (XXH64 of the text by Spark), component_id and component_hash of every row of docs.
+
+    The last two are of the row reachable that has the smallest doc_id, then hash.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is at least `similarity`: every such pair is
     found by its prefixes, and none is linked without its shingles having been compared. As in linked_components,
@@ -244,18 +246,21 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     edges = star.unionByName(_verified(counted(pairs), docs, reps, shingle, similarity))
     groups = written(reps.join(components(edges).withColumnRenamed("node", "s"), "s", "left").select("s", "rep", F.coalesce("component", "s").alias("group")), "groups")
     roots = groups.groupBy("group").agg(F.min("rep").alias("root"))
-    return own.select("doc_id", "hash", "s").join(groups.join(roots, "group").select("s", F.col("root.doc_id").alias("component_id")), "s").drop("s")
+    return own.select("doc_id", "hash", "s").join(groups.join(roots, "group").select("s", F.col("root.doc_id").alias("component_id"), F.col("root.hash").alias("component_hash")), "s").drop("s")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all columns, with one row of each group of near duplicates: that of the smallest doc_id.
 
-    Rows without doc_id stay; of rows that share a doc_id, all copies of one document, one stays.
+    Rows without doc_id stay. A document is an id with a text: its copies are one, and different texts under one id
+    go only for their own components (of those in one component that of the smallest hash stays).
     """
-    found = similar_documents(docs.select("doc_id", "text"), shingle, similarity)
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("component_id").alias("c"))
-    ids = written(ids.where("k > 1 or c <> doc_id").select(F.col("doc_id").alias("__id"), (F.col("c") == F.col("doc_id")).alias("__stays")), "dropped")
-    same = F.col("doc_id") == F.col("__id")
-    once = docs.join(ids, same, "left_anti")
-    repeated = docs.join(ids.where("__stays"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated)
+    found = similar_documents(docs.select("doc_id", "text"), shingle, similarity).where("doc_id is not null")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("hash") == F.col("component_hash"))
+    ids = found.groupBy("doc_id", "hash").agg(F.count("*").alias("k"), F.bool_or(stays).alias("stays"))
+    ids = written(ids.where("k > 1 or not stays").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("stays").alias("__stays")), "dropped")
+    keyed = docs.withColumn("__key", F.xxhash64(text_of()))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__hash"))
+    once = keyed.join(ids, same, "left_anti")
+    repeated = keyed.join(ids.where("__stays"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return once.unionByName(repeated).drop("__key")

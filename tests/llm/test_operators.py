@@ -171,6 +171,14 @@ def test_similar_documents_against_brute_force(spark):
     assert op5_simhash.one_of_each(d.limit(0)).count() == 0
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(13)
+    a, b, c = (sentence(rng, 30) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (2, b), (2, c), (2, c), (3, a), (3, b), (2, c + " end"), (None, a)], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in op5_simhash.one_of_each(d).collect()]
+    assert len(got) == 4 and {(1, a), (2, b), (None, a)} <= set(got) and {t for i, t in got if i == 2} - {b} <= {c, c + " end"}
+
+
 def test_lines_against_brute_force(docs, rows):
     def near(a, b):
         if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < op8_line_dedup.MIN_WORDS:
