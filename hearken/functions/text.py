@@ -1,141 +1,270 @@
-"""Text operators as Column functions. Python runs only for texts with characters beyond ASCII, in Arrow batches."""
+"""Text operators as Column functions.
+
+What Spark's own functions can do runs in them. Unicode forms, spaced-out words and leet need Python: it is given the
+texts that show a sign of these, and null for the others, so a clean ASCII text costs it nothing.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from hearken.sources import packs as P
+from hearken.sources.packs import Normalizer
+
+#: Letters of other scripts that look Latin; only lower case is folded, before texts are lower-cased.
+CONFUSABLE = ("аеорсухіѕјԁոмткѵαονρτκ", "aeopcyxisjdnmtkvaovptk")
+INVISIBLE = "[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff]"
+LEET = ("0134579@$€!|", "oieastgasei" + "i")
+#: White space, and the word boundary, of the regular expressions that dictionaries are written for.
+BLANK = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_PAUSE = "[-!,.:;?\u00a1\u00bf\u2013\u2014\u2026]+"
+FILLERS = (("hesitation", "(?:m{2,}|em+|eh+)"), ("este", "este"), ("pues", "pues"), ("o-sea", f"o{BLANK}+sea"))
+MARKERS = ("unicode", "spacing", "leet")
+#: The label of each marker, and of what the voice branch does, among the transformations.
+LABELS = {"unicode": "unicode-sanitize", "spacing": "collapse-spacing", "leet": "de-leet"}
+_NOT_ASCII = r"[^\x00-\x7f]"
+_SPACED_ASCII = r"(?:^|\s)[A-Za-z0-9](?:\s+[A-Za-z0-9]){3,}(?:\s|$|[.,!?])"
+_LEET_ASCII = r"[A-Za-z][A-Za-z0-9$@!|]*[013457$9@!|]|[013457$9@!|][A-Za-z0-9$@!|]*[A-Za-z]"
+
+_INVISIBLE = re.compile(INVISIBLE)
+_MARKS = re.compile("[\u0300-\u036f]")
+_SPACED = re.compile(rf"(?:(?<={BLANK})|\A)(?:[^\W_]{BLANK}+){{3,}}[^\W_](?={BLANK}|\Z|[.,!?])")
+_SINGLES = re.compile(rf"(?:{BLANK}|\A)[^\W_]{BLANK}+[^\W_]{BLANK}")
+_RUN, _REST = re.compile("[0-9$@€!|]+"), re.compile(r"(?:[^\W_]|[$@€!|])*")
+_LEET, _FOLD = str.maketrans(*LEET), str.maketrans(*CONFUSABLE)
+
+
+def _sanitize(t: str) -> str:
+    return t if t.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", t)).translate(_FOLD)
+
+
+def _plain(t: str) -> str:
+    return t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))
+
+
+def _joined(t: str) -> str:
+    return _SPACED.sub(lambda m: re.sub(f"{BLANK}+", "", m[0]), t) if _SINGLES.search(t) else t
+
+
+def _unleet(t: str) -> str:
+    """Tokens that mix letters with digits or signs, spelt with letters; only surroundings of such signs are looked at."""
+    out, done = [], 0
+    for run in _RUN.finditer(t):
+        if run.start() < done:
+            continue
+        a = run.start()
+        while a > done and t[a - 1].isalnum():
+            a -= 1
+        b = _REST.match(t, run.end()).end()
+        token = t[a:b]
+        out += [t[done:a], token.translate(_LEET) if any(map(str.isalpha, token)) else token]
+        done = b
+    return "".join([*out, t[done:]]) if out else t
+
+
+def _voice(t: str) -> str:
+    t = re.sub(_PAUSE, " ", _sanitize(t).lower().strip(_BLANKS))
+    for _, filler in FILLERS:
+        t = re.sub(rf"(?<![^\W_]){filler}(?![^\W_])", " ", t)
+    return re.sub(f"{BLANK}+", " ", t).strip(_BLANKS)
+
 
-CONFUSABLE = ("асеорхуіјѕԁһԛԝαορνικτցոսօ", "aceopxyijsdhqwaopviktgnuo")
-INVISIBLE = "[​-‏‪-‮⁠-⁩­﻿᠎؜]"
-LEET = str.maketrans("013457$@€!|8", "oieastsaeiib")
-FILLERS = (r"\b(?:eh+|em+)\b", r"\b(?:este)\b", r"\b(?:o sea)\b", r"\b(?:pues)\b")
-ASCII = r"^[\x00-\x7f]*$"
+def _prepared(t: str, voice: bool, symbols: tuple[tuple[str, str], ...]) -> tuple[str, bool, bool, bool]:
+    """A text up to its accents, and which repairs changed it (none are looked for in speech)."""
+    if voice:
+        text, seen = _voice(t), (False, False, False)
+    else:
+        clean = _sanitize(t)
+        low = clean.lower().strip(_BLANKS)
+        near = _joined(low)
+        text = _unleet(near)
+        seen = (clean != t, near != low, text != near)
+    for raw, canonical in symbols:
+        if raw in text:
+            text = text.replace(raw, f" {canonical} ")
+    return _plain(text), *seen
 
 
-@F.pandas_udf(StringType())
-def _nfd(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", t)))
+_KIND = StructType([StructField("text", StringType()), *(StructField(x, BooleanType()) for x in MARKERS)])
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _mapped(f: Callable[[str], str]):
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else f(t))
 
+    return run
 
-@F.pandas_udf(StringType())
-def _unspaced(texts: pd.Series) -> pd.Series:
-    spaced = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
-    return texts.map(lambda t: None if t is None else spaced.sub(lambda m: re.sub(r"\s+", "", m[0]), t))
 
+@cache
+def _udf(f: Callable[[str], str]):
+    return _mapped(f)
 
-@F.pandas_udf(StringType())
-def _unleet(texts: pd.Series) -> pd.Series:
-    token = re.compile(r"(?:[^\W_]|[$@€!|])+")
-    fix = lambda m: m[0].translate(LEET) if re.search(r"[^\W\d_]", m[0]) and re.search(r"[0-9$@€!|]", m[0]) else m[0]
-    return texts.map(lambda t: None if t is None else token.sub(fix, t))
+
+def _where(needed: Column, f: Callable[[str], str], t: Column) -> Column:
+    return F.when(needed, _udf(f)(F.when(needed, t))).otherwise(t)
 
 
 def remove_accents(t: Column) -> Column:
-    return F.when(t.rlike(ASCII), t).otherwise(_nfd(t))
+    return _where(t.rlike(_NOT_ASCII), _plain, t)
 
 
 def collapse_repeated(t: Column) -> Column:
-    return F.regexp_replace(t, r"(?s)(.)\1{2,}", "$1$1")
+    """Three and more of one character become two; line breaks and characters beyond the basic plane stay."""
+    return F.regexp_replace(t, "([^\\n\\r\u2028\u2029\\x{10000}-\\x{10FFFF}])\\1{2,}", "$1$1")
 
 
 def sanitize_unicode(t: Column) -> Column:
-    clean = lambda c: F.translate(F.regexp_replace(c, INVISIBLE, ""), *CONFUSABLE)
-    return F.when(t.rlike(ASCII), t).otherwise(clean(_nfkc(t)))
+    return _where(t.rlike(_NOT_ASCII), _sanitize, t)
 
 
 def collapse_spacing(t: Column) -> Column:
-    return F.when(t.rlike(r"(?:^|\s)\S(?:\s+\S){3,}(?:\s|$)"), _unspaced(t)).otherwise(t)
+    return _where(t.rlike(_NOT_ASCII) | t.rlike(_SPACED_ASCII), _joined, t)
 
 
 def de_leet(t: Column) -> Column:
-    return F.when(t.rlike(r"[0-9$@€!|]"), _unleet(t)).otherwise(t)
+    return _where(t.rlike(r"[0-9$@€!|]"), _unleet, t)
 
 
-def expand_symbols(t: Column) -> Column:
-    for raw, canonical in P.SYMBOLS:
+def expand_symbols(t: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for raw, canonical in pairs:
         t = F.replace(t, F.lit(raw), F.lit(f" {canonical} "))
     return t
 
 
-def fix_misspellings(t: Column) -> Column:
-    for raw, canonical in P.MISSPELLINGS:
-        t = F.regexp_replace(t, rf"(?i)(?<![A-Za-z0-9_]){raw}(?![A-Za-z0-9_])", canonical)
-    return t
+def js_pattern(pattern: str) -> str:
+    """A pattern of a dictionary for Java: case counts for nothing, and \\b knows ASCII words only."""
+    return "(?iu)" + re.sub(r"((?:\\\\)*)\\b", lambda m: m[1] + _EDGE, pattern)
+
+
+def _literal(s: str) -> str:
+    return re.sub(r"([\\$])", r"\\\1", s)
+
+
+def fix_misspellings(t: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    if not pairs:
+        return t
+    out = t
+    for raw, canonical in pairs:
+        out = F.regexp_replace(out, js_pattern(rf"\b{raw}\b"), _literal(canonical))
+    return F.when(t.rlike(js_pattern("|".join(rf"\b{raw}\b" for raw, _ in pairs))), out).otherwise(t)
+
 
+def expand_abbreviations(t: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    table = {k: v for k, v in pairs if k and v}
+    if not table:
+        return F.regexp_replace(t, f"{BLANK}+", " ")
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
-def expand_abbreviations(t: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in P.ABBREVIATIONS.items() for x in kv])
-    return F.array_join(F.transform(F.split(t, r"\s+"), lambda w: F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, _: k == F.regexp_replace(w, "[^a-z0-9']", ""))), F.lit(0)), w)), " ")
+    def word(w: Column) -> Column:
+        bare = F.regexp_replace(w, "[^a-z0-9']", "")
+        return F.when(bare.isin(*table), F.element_at(known, bare)).otherwise(w)
 
+    return F.array_join(F.transform(F.split(t, f"{BLANK}+", -1), word), " ")
 
-def phonetic(t: Column) -> Column:
-    for find, put in P.PHONETIC:
-        t = F.regexp_replace(t, find, put)
+
+def phonetic(t: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for find, put in rules:
+        t = F.regexp_replace(t, js_pattern(find), re.sub(r"\\(\d)", r"$\1", put))
     return t
 
 
 def preprocess_voice(t: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.trim(sanitize_unicode(t))), r"[.,;:!?…]+", " ")
-    for filler in FILLERS:
-        t = F.regexp_replace(t, filler, " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """Speech: sanitized, lower case, without pauses and four fillers, blanks squeezed."""
+    needed = t.rlike(_NOT_ASCII)
+    return F.when(needed, _udf(_voice)(F.when(needed, t))).otherwise(_spoken(F.lower(_trimmed(t))))
+
+
+def _spoken(low: Column) -> Column:
+    t = F.regexp_replace(low, "[-!,.:;?]+", " ")
+    for _, filler in FILLERS:
+        t = F.regexp_replace(t, rf"(?<![A-Za-z0-9]){filler}(?![A-Za-z0-9])", " ")
+    return _trimmed(F.regexp_replace(t, r"\s+", " "))
+
+
+def _trimmed(t: Column) -> Column:
+    return F.btrim(t, F.lit("\t\n\x0b\x0c\r "))
 
 
 def fold(t: Column) -> Column:
     """Lower case, trimmed, without accents: what dictionaries and texts are both put through at least."""
-    return remove_accents(F.lower(F.trim(t)))
-
-
-_SPACED = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
-_TOKEN = re.compile(r"(?:[^\W_]|[$@€!|])+")
-_FOLD = str.maketrans(*CONFUSABLE)
-
-
-def _repair(t: str) -> tuple[str, bool, bool, bool]:
-    clean = t if t.isascii() else re.sub(INVISIBLE, "", unicodedata.normalize("NFKC", t)).translate(_FOLD)
-    low = clean.strip().lower()
-    joined = _SPACED.sub(lambda m: re.sub(r"\s+", "", m[0]), low)
-    plain = _TOKEN.sub(lambda m: m[0].translate(LEET) if re.search(r"[^\W\d_]", m[0]) and re.search(r"[0-9$@€!|]", m[0]) else m[0], joined)
-    return plain, clean != t, joined != low, plain != joined
-
-
-@F.pandas_udf(StructType([StructField("text", StringType()), *(StructField(x, BooleanType()) for x in ("unicode", "spacing", "leet"))]))
-def _repaired(texts: pd.Series) -> pd.DataFrame:
-    """Unicode, case, spacing and leet repairs in one pass, with what each of them changed."""
-    return pd.DataFrame([_repair(t) for t in texts.fillna("")], columns=["text", "unicode", "spacing", "leet"])
-
-
-def normalize_surface(t: str) -> str:
-    """What normalize_steps makes of a dictionary surface, on the driver."""
-    t = _repair(t)[0]
-    for raw, canonical in P.SYMBOLS:
-        t = t.replace(raw, f" {canonical} ")
-    t = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", t))
-    t = re.sub(r"(?s)(.)\1{2,}", r"\1\1", t)
-    for raw, canonical in P.MISSPELLINGS:
-        t = re.sub(rf"(?i)(?<![A-Za-z0-9_]){raw}(?![A-Za-z0-9_])", canonical, t)
-    t = " ".join(P.ABBREVIATIONS.get(re.sub("[^a-z0-9']", "", w), w) for w in re.split(r"\s+", t))
-    for find, put in P.PHONETIC:
-        t = re.sub(find, put.replace("$", "\\"), t)
-    return t.strip()
-
-
-def normalize_steps(t: Column, source: Column | None = None) -> Column:
-    """struct(text, unicode, spacing, leet): the normalized text and which evasion repairs changed it."""
-    s = _repaired(t)
-    voice = F.lit(False) if source is None else F.coalesce(source == "voice_transcript", F.lit(False))
-    base = s["text"] if source is None else F.when(voice, preprocess_voice(t)).otherwise(s["text"])
-    text = phonetic(expand_abbreviations(fix_misspellings(collapse_repeated(_nfd(expand_symbols(base))))))
-    return F.struct(text.alias("text"), *((~voice & s[x]).alias(x) for x in ("unicode", "spacing", "leet")))
+    return remove_accents(F.lower(_trimmed(t)))
+
+
+def token_array(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+@cache
+def _prepare(symbols: tuple[tuple[str, str], ...]):
+    @F.pandas_udf(_KIND)
+    def run(texts: pd.Series, voice: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None, None) if t is None else _prepared(t, v, symbols) for t, v in zip(texts, voice, strict=True)]
+        return pd.DataFrame(rows, columns=["text", *MARKERS])
+
+    return run
+
+
+def normalized(df: DataFrame, n: Normalizer, text: str = "text", source: str | None = None, labels: bool = False) -> DataFrame:
+    """df with norm (the normalized text), unicode, spacing, leet (which evasion repairs changed it) and, if asked for,
+    labels (what else changed it: symbols, spellings, abbreviations, sounds, speech). One projection a step, so that
+    no step is worked out twice."""
+    t = F.col(text)
+    voice = F.lit(False) if source is None else F.coalesce(F.col(source) == "voice_transcript", F.lit(False))
+    d = df.withColumn("__voice", voice)
+    d = d.withColumn("__hard", F.coalesce(t.rlike(_NOT_ASCII) | (~F.col("__voice") & (t.rlike(_SPACED_ASCII) | t.rlike(_LEET_ASCII))), F.lit(False)))
+    d = d.withColumn("__done", _prepare(n.symbols)(F.when(F.col("__hard"), t), F.col("__voice")))
+    said = F.lower(_trimmed(t))
+    if source is not None:
+        said = F.when(F.col("__voice"), _spoken(said)).otherwise(said)
+    d = d.withColumn("__base", F.when(F.col("__hard"), F.col("__done.text")).otherwise(expand_symbols(said, tuple((raw, _plain(put)) for raw, put in n.symbols if raw.isascii()))))
+    d = d.withColumn("__two", collapse_repeated(F.col("__base"))).withColumn("__spelt", fix_misspellings(F.col("__two"), n.misspellings))
+    d = d.withColumn("__sound0", expand_abbreviations(F.col("__spelt"), n.abbreviations))
+    for k, rule in enumerate(n.phonetic):
+        d = d.withColumn(f"__sound{k + 1}", phonetic(F.col(f"__sound{k}"), (rule,)))
+    marks = {x: F.coalesce(F.col(f"__done.{x}"), F.lit(False)) for x in MARKERS}
+    out = d.withColumns({"norm": F.col(f"__sound{len(n.phonetic)}"), **marks, **({"labels": _labels(t, n, source)} if labels else {})})
+    return out.drop(*(c for c in out.columns if c.startswith("__")))
+
+
+def _labels(t: Column, n: Normalizer, source: str | None) -> Column:
+    """What normalized changed, from the columns of its steps."""
+    arrow = lambda a, b: F.lit(f"{a}→{b}")
+    low, voice = F.lower(t), F.col("__voice")
+    out = [F.when(low.contains(raw), arrow(raw, put)) for raw, put in n.symbols]
+    if source is not None:
+        out.append(F.when(voice & t.rlike(f"{INVISIBLE}|[\uff01-\uff5e]"), "voice-unicode-sanitize"))
+        out.append(F.when(voice & t.rlike(_PAUSE), "voice-pause-cleanup"))
+        out += [F.when(voice & t.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}]){f}(?![\p{{L}}\p{{N}}])"), f"voice-filler:{name}") for name, f in FILLERS]
+    out += [F.when(F.col("__two").rlike(js_pattern(rf"\b{raw}\b")), arrow(raw, put)) for raw, put in n.misspellings]
+    table = {k: v for k, v in n.abbreviations if k and v}
+    short = F.array().cast("array<string>")
+    if table:
+        known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+        bare = F.transform(F.split("__spelt", f"{BLANK}+", -1), lambda w: F.regexp_replace(w, "[^a-z0-9']", ""))
+        short = F.transform(F.array_distinct(F.filter(bare, lambda w: w.isin(*table))), lambda w: F.concat(w, F.lit("→"), F.element_at(known, w)))
+    sounds = [F.when(F.col(f"__sound{k}") != F.col(f"__sound{k + 1}"), "phonetic:" + re.sub(r"\\(\d)", r"$\1", put)) for k, (_, put) in enumerate(n.phonetic)]
+    listed = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
+    return F.array_distinct(F.concat(listed(out), short, listed(sounds)))
+
+
+def normalize_surface(t: str, n: Normalizer) -> str:
+    """What normalized makes of a dictionary surface, on the driver."""
+    t = re.sub(r"([^\n\r\u2028\u2029\U00010000-\U0010ffff])\1{2,}", r"\1\1", _prepared(t, False, n.symbols)[0])
+    edge = lambda p: re.compile(re.sub(r"\\b", lambda _: _EDGE, p), re.I)
+    for raw, canonical in n.misspellings:
+        t = edge(rf"\b{raw}\b").sub(lambda _, c=canonical: c, t)
+    table = dict(n.abbreviations)
+    t = " ".join(table.get(re.sub("[^a-z0-9']", "", w)) or w for w in re.split(f"{BLANK}+", t))
+    for find, put in n.phonetic:
+        t = edge(find).sub(put, t)
+    return t

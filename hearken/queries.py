@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.config import CONFIG, STAGE_OF
+from hearken import sql as Q
+from hearken.config import AGE_BANDS, CONFIG, STAGE_OF
 from hearken.functions import text as T
 from hearken.operators import evaluate as V
+from hearken.operators import features as X
 from hearken.operators import matching as M
 from hearken.plans import engine as E
 from hearken.sources import packs as P
+from hearken.sources import synthetic as Y
 from hearken.streaming import sessions as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-EVENT_CATEGORY = {"click": "reclutamiento", "view": "manipulacion_social", "purchase": "logistica_fisica", "signup": "aislamiento", "logout": "oferta_economica", "login": "señal_debil"}
-PACKS = (P.MX, P.EU)
+#: What kind of hit an event stands for.
+EVENT_CATEGORY = {"click": "reclutamiento", "view": "señal_debil", "purchase": "logistica_fisica", "signup": "aislamiento", "logout": "oferta_economica", "login": "manipulacion_social", "search": "redes_sociales_vector"}
+PACKS = (Y.MX, Y.EU)
+N, PAT, DAMP = Y.NORMALIZER, Y.PATTERNS, Y.DAMPENERS
 
 
 def query(name: str, sql: str | None = None):
@@ -35,25 +42,16 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    return E.messages_of(_t(spark, d, "conversations")).withColumn("text", T.fold(F.col("text")))
-
+    return E.messages_of(_t(spark, d, "conversations"))
 
-_NORM = "norm AS (SELECT conv_id, turn::INT AS msg_idx, lower(strip_accents(trim(coalesce(text, '')))) AS text, 1750000000000 + turn * 60000 AS ts_ms, role AS sender FROM conversations)"
 
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return _messages(spark, d).withColumn("text", T.fold(F.col("text")))
 
-def _matches(packs, norm: str = "norm") -> str:
-    rows = [f"SELECT n.*, {k} AS pack_idx, {n} AS entry_idx, {_q(o)} AS out_id, {_q(c)} AS canonical_id, {_q(s)} AS surface, {_q(cat)} AS category, {w}::DOUBLE AS weight, {str(amb).lower()} AS ambiguous FROM {norm} n WHERE regexp_matches(text, {_q(P.surface_pattern(s))})" for k, n, _, o, c, s, cat, w, amb in P.entries(packs)]
-    return "m AS (" + " UNION ALL ".join(rows) + ")"
 
-
-_FIRST = "f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, canonical_id ORDER BY msg_idx, pack_idx, entry_idx) = 1)"
-_KEPT = "k AS (SELECT * FROM f QUALIFY NOT ambiguous OR bool_or(NOT ambiguous AND category <> 'señal_debil') OVER (PARTITION BY conv_id))"
-_BASE = f"WITH {_NORM}, {_matches((P.MX,))}, {_FIRST}, {_KEPT}"
+def _joined(c: str | Column) -> Column:
+    return F.array_join(F.array_sort(c), ",")
 
 
 # --- text ---------------------------------------------------------------------------------------------------------
@@ -62,255 +60,345 @@ def accent_fold(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.remove_accents(F.col("text")).alias("text"))
 
 
-@query("collapse_repeated", "SELECT doc_id, " + "".join("regexp_replace(" for _ in "abc*#%$&!.") + "text" + "".join(f", '{'[' + c + ']'}{{3,}}', '{c}{c}', 'g')" for c in "abc*#%$&!.") + " AS text FROM documents")
+@query("collapse_repeated", f"SELECT doc_id, {Q.squeezed('text', 3, 'two')} AS text FROM documents")
 def collapse_repeated(spark, d):
-    """Runs of three and more of ten characters (the ones that the SQL can name)."""
-    t = F.col("text")
-    return _t(spark, d, "documents").select("doc_id", F.regexp_replace(t, r"([abc*#%$&!.])\1{2,}", "$1$1").alias("text"))
+    return _t(spark, d, "documents").select("doc_id", T.collapse_repeated(F.col("text")).alias("text"))
 
 
-@query("collapse_all")
-def collapse_all(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.collapse_repeated(F.col("text")).alias("text"))
+_FILLERS = ("(?:m{2,}|em+|eh+)", "este", "pues", "o\\s+sea")
+_SPEECH = f"regexp_replace(lower({Q.trimmed('text')}), '[-!,.:;?¡¿–—…]+', ' ', 'g')"
+for _f in _FILLERS:
+    _SPEECH = f"regexp_replace({_SPEECH}, '(^|[^\\p{{L}}\\p{{N}}])(?:{_f})($|[^\\p{{L}}\\p{{N}}])', '\\1 \\2', 'g')"
 
 
-@query("voice_preprocess", r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '[.,;:!?…]+', ' ', 'g'), '\b(?:eh+|em+)\b', ' ', 'g'), '\b(?:este)\b', ' ', 'g'), '\b(?:o sea)\b', ' ', 'g'), '\b(?:pues)\b', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations")
+@query("voice_preprocess", f"SELECT conv_id, turn, trim(regexp_replace({_SPEECH}, '\\s+', ' ', 'g')) AS text FROM conversations")
 def voice_preprocess(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.preprocess_voice(F.col("text")).alias("text"))
 
 
-@query("abbrev_expand", "SELECT conv_id, turn, list_aggregate(list_transform(string_split_regex(text, '\\s+'), lambda w: CASE regexp_replace(w, '[^a-z0-9'']', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.ABBREVIATIONS.items()) + " ELSE w END), 'string_agg', ' ') AS text FROM conversations")
+@query("abbrev_expand", f"SELECT conv_id, turn, {Q.unshortened('text', N.abbreviations)} AS text FROM conversations")
 def abbrev_expand(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", T.expand_abbreviations(F.col("text")).alias("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.expand_abbreviations(F.col("text"), N.abbreviations).alias("text"))
 
 
-@query("symbol_expand", "SELECT doc_id, replace(replace(replace(text, '***', ' stars '), '###', ' hashes '), '%%%', ' percent ') AS text FROM documents")
+@query("symbol_expand", f"SELECT doc_id, {Q.replaced('text', N.symbols, ' ')} AS text FROM documents")
 def symbol_expand(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.expand_symbols(F.col("text")).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", T.expand_symbols(F.col("text"), N.symbols).alias("text"))
 
 
-@query("misspellings", r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\bthsh\b', 'this', 'g'), '(?i)\bedst\b', 'best', 'g') AS text FROM documents")
+@query("misspellings", f"SELECT doc_id, {Q.respelt('text', N.misspellings)} AS text FROM documents")
 def misspellings(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.fix_misspellings(F.col("text")).alias("text"))
+    return _t(spark, d, "documents").select("doc_id", T.fix_misspellings(F.col("text"), N.misspellings).alias("text"))
+
 
+@query("phonetic", f"SELECT conv_id, turn, {Q.squeezed(Q.replaced('lower(text)', N.phonetic[:2]), 2, 'one')} AS text FROM conversations")
+def phonetic(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.phonetic(F.lower("text"), N.phonetic).alias("text"))
 
-@query("normalize")
+
+@query("normalize", Q.with_(Q.RAW, *Q.normalized(N, "raw0")) + " SELECT conv_id, msg_idx AS turn, text, false AS unicode, false AS spacing, false AS leet FROM norm")
 def normalize(spark, d):
-    c = _t(spark, d, "conversations")
-    return c.select("conv_id", "turn", T.normalize_steps(F.col("text")).alias("s")).select("conv_id", "turn", "s.*")
+    got = T.normalized(_t(spark, d, "conversations"), N)
+    return got.select("conv_id", F.col("turn").cast("int").alias("turn"), F.col("norm").alias("text"), *T.MARKERS)
+
 
+def _ranges() -> str:
+    """A character class of what sanitizing changes: compatibility forms, invisible and confusable characters."""
+    odd = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and T._sanitize(chr(c)) != chr(c)]
+    out, k = [], 0
+    while k < len(odd):
+        j = k
+        while j + 1 < len(odd) and odd[j + 1] == odd[j] + 1:
+            j += 1
+        out.append(f"\\x{{{odd[k]:x}}}-\\x{{{odd[j]:x}}}")
+        k = j + 1
+    marks = [c for c in range(0x300, 0x370) if unicodedata.combining(chr(c))]
+    return f"[{''.join(out)}\\x{{{marks[0]:x}}}-\\x{{{marks[-1]:x}}}]"
 
-@query("evasion_markers")
+
+_TOKEN = r"[\p{L}\p{N}$@€!|]"
+_CLEAN = f"c AS (SELECT doc_id, text, lower({Q.trimmed('text')}) AS low FROM documents)"
+_SPACED = r"(?:^|\s)[\p{L}\p{N}](?:\s+[\p{L}\p{N}]){3,}(?:\s|$|[.,!?])"
+_MIXED = rf"\p{{L}}{_TOKEN}*[0134579$@€!|]|[0134579$@€!|]{_TOKEN}*\p{{L}}"
+_MARKS = f"regexp_matches(text, {Q.q(_ranges())})::INT + regexp_matches(low, {Q.q(_SPACED)})::INT + regexp_matches(low, {Q.q(_MIXED)})::INT"
+
+
+@query("evasion_markers", f"WITH {_CLEAN} SELECT doc_id, {_MARKS} AS markers, least(({_MARKS}) * 2, 6) AS bonus FROM c")
 def evasion_markers(spark, d):
-    s = _t(spark, d, "documents").select("doc_id", T.normalize_steps(F.col("text")).alias("s"))
-    n = F.col("s.unicode").cast("int") + F.col("s.spacing").cast("int") + F.col("s.leet").cast("int")
+    s = T.normalized(_t(spark, d, "documents").select("doc_id", "text"), N)
+    n = sum((F.col(x).cast("int") for x in T.MARKERS), F.lit(0))
     return s.select("doc_id", n.alias("markers"), F.least(n * 2, F.lit(6)).alias("bonus"))
 
 
-@query("deleet")
+_TOKENS = rf"regexp_extract_all(lower(text), '{_TOKEN}+|[^\p{{L}}\p{{N}}$@€!|]+')"
+_UNLEET = rf"CASE WHEN regexp_matches(t, '\p{{L}}') AND regexp_matches(t, '[0-9$@€!|]') THEN translate(t, {Q.q(T.LEET[0])}, {Q.q(T.LEET[1])}) ELSE t END"
+
+
+@query("deleet", f"SELECT doc_id, array_to_string(list_transform({_TOKENS}, lambda t: {_UNLEET}), '') AS text FROM documents")
 def deleet(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.de_leet(F.lower("text")).alias("text"))
 
 
-@query("text_predicates", r"SELECT conv_id, turn, contains(text, '?') AS question, regexp_matches(text, '[0-9]') AS digits, regexp_matches(text, '(?:^|[^A-Za-z0-9_])(?:tu|you)(?:[^A-Za-z0-9_]|$)') AS second_person, length(text)::BIGINT AS n FROM conversations")
+def _re2(p: str) -> str:
+    return p.replace(T._EDGE, r"\b").replace("(?iu)", "(?i)")
+
+
+_LENGTH = "(length(raw) + length(regexp_replace(raw, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))"
+_PREDICATES = {"imperative": f"regexp_matches(raw, {Q.q(_re2(X.IMPERATIVE))})", "second_person": f"regexp_matches(raw, {Q.q(_re2(X.SECOND_PERSON))})", "question": "contains(raw, '?')", "money": f"regexp_matches(raw, {Q.q(_re2(X.MONEY))})", "meet": f"regexp_matches(raw, {Q.q(_re2(X.MEET))})", "length": _LENGTH}
+
+
+@query("text_predicates", f"WITH {Q.NORM} SELECT conv_id, msg_idx, " + ", ".join(f"({v})::INT AS {k}" for k, v in _PREDICATES.items()) + " FROM norm")
 def text_predicates(spark, d):
-    t = F.col("text")
-    return _t(spark, d, "conversations").select("conv_id", "turn", t.contains("?").alias("question"), t.rlike("[0-9]").alias("digits"), t.rlike("(?:^|[^A-Za-z0-9_])(?:tu|you)(?:[^A-Za-z0-9_]|$)").alias("second_person"), F.length(t).cast("long").alias("n"))
+    return _messages(spark, d).select("conv_id", "msg_idx", *(c.alias(k) for k, c in X.text_predicates(F.col("text")).items()))
 
 
-@query("cap_messages", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n <= 40 OR k <= 10 OR k > n - 30")
+@query("cap_messages", "SELECT user_id, event_id, text FROM (SELECT user_id, event_id, substr(event_type, 1, 4) AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE n <= 40 OR k <= 10 OR k > n - 30")
 def cap_messages(spark, d):
-    from dataclasses import replace
-
     ev = _t(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("msg_idx"), F.col("event_type").alias("text"))
-    return E.cap(ev, replace(CONFIG, max_messages=40, head_messages=10)).select(F.col("conv_id").alias("user_id"), F.col("msg_idx").alias("event_id"))
+    return E.cap(ev, replace(CONFIG, max_messages=40, head_messages=10, max_chars=4)).select(F.col("conv_id").alias("user_id"), F.col("msg_idx").alias("event_id"), "text")
 
 
 # --- matching and rules -------------------------------------------------------------------------------------------
-@query("v3_match", f"WITH {_NORM}, {_matches((P.MX,))} SELECT conv_id, msg_idx, out_id, surface FROM m")
+_MX = Q.with_(Q.NORM, *Q.kept((Y.MX,)))
+_TWO = Q.with_(Q.NORM, *Q.kept(PACKS))
+
+
+@query("v3_match", f"{_MX} SELECT conv_id, msg_idx, out_id, surface FROM m")
 def v3_match(spark, d):
-    return M.match_surfaces(_messages(spark, d), (P.MX,)).select("conv_id", "msg_idx", "out_id", "surface")
+    return M.match_surfaces(_folded(spark, d), (Y.MX,)).select("conv_id", "msg_idx", "out_id", "surface")
 
 
-@query("v3_match_nested_loop", f"WITH {_NORM}, {_matches((P.MX,))} SELECT conv_id, msg_idx, out_id, surface FROM m")
+@query("v3_match_nested_loop", f"{_MX} SELECT conv_id, msg_idx, out_id, surface FROM m")
 def v3_match_nested_loop(spark, d):
-    return M.match_surfaces(_messages(spark, d), (P.MX,), "nested_loop").select("conv_id", "msg_idx", "out_id", "surface")
+    return M.match_surfaces(_folded(spark, d), (Y.MX,), "nested_loop").select("conv_id", "msg_idx", "out_id", "surface")
+
 
+@query("v3_match_shuffled", f"{_TWO} SELECT conv_id, msg_idx, out_id, surface FROM m")
+def v3_match_shuffled(spark, d):
+    """The way of dictionaries too large to broadcast."""
+    return M.match_surfaces(_folded(spark, d), PACKS, "shuffle").select("conv_id", "msg_idx", "out_id", "surface")
 
-@query("v3_first_match", f"{_BASE} SELECT conv_id, out_id, surface, msg_idx, ts_ms FROM f")
+
+@query("v3_first_match", f"{_MX} SELECT conv_id, out_id, surface, msg_idx, ts_ms FROM f")
 def v3_first_match(spark, d):
-    return M.first_matches(M.match_surfaces(_messages(spark, d), (P.MX,))).select("conv_id", "out_id", "surface", "msg_idx", "ts_ms")
+    return M.terms_of(M.match_surfaces(_folded(spark, d), (Y.MX,))).select("conv_id", "out_id", "surface", "msg_idx", "ts_ms")
 
 
-@query("v3_corroborated_score", f"{_BASE} SELECT conv_id, sum(weight) AS score, count(*)::BIGINT AS n_terms, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM k GROUP BY conv_id")
+@query("v3_corroborated_score", f"{_MX} SELECT conv_id, sum(weight) AS score, count(*)::BIGINT AS n_terms, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM k GROUP BY conv_id")
 def v3_corroborated_score(spark, d):
-    k = M.corroborated(M.first_matches(M.match_surfaces(_messages(spark, d), (P.MX,))))
-    return k.groupBy("conv_id").agg(F.sum("weight").alias("score"), F.count("*").alias("n_terms"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    k = M.terms_of(M.match_surfaces(_folded(spark, d), (Y.MX,)), lambda xs: M.corroborated(M.claimed(xs)))
+    return k.groupBy("conv_id").agg(F.sum("weight").alias("score"), F.count("*").alias("n_terms"), _joined(F.collect_set("category")).alias("categories"))
 
 
-@query("pack_claim", f"WITH {_NORM}, {_matches(PACKS)}, {_FIRST} SELECT conv_id, canonical_id, surface, category, msg_idx FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, surface, category ORDER BY msg_idx, pack_idx, entry_idx) = 1")
+@query("pack_claim", f"{_TWO} SELECT conv_id, canonical_id, surface, category, msg_idx FROM f")
 def pack_claim(spark, d):
-    return M.claim(M.match_surfaces(_messages(spark, d), PACKS)).select("conv_id", "canonical_id", "surface", "category", "msg_idx")
+    return M.terms_of(M.match_surfaces(_folded(spark, d), PACKS)).select("conv_id", "canonical_id", "surface", "category", "msg_idx")
 
 
-HOT = [("MX", P.Term("HOT-1", "with", "slang_operativo", 30)), ("MX", P.Term("HOT-2", "thth", "slang_operativo", 9, ("from", "ed")))]
+HOT = [("MX", P.Term("HOT-1", "erhe", "slang_operativo", 30)), (None, P.Term("HOT-2", "thth", "slang_operativo", 9, ("from", "onhe", "ed")))]
 
 
-@query("hot_terms_overlay", f"WITH {_NORM}, {_matches(P.add_hot_terms((P.MX,), HOT))} SELECT out_id, surface, count(*)::BIGINT AS n FROM m GROUP BY out_id, surface")
+@query("hot_terms_overlay", f"WITH {Q.NORM}, {Q.matches(P.add_hot_terms((Y.MX,), HOT))} SELECT out_id, surface, count(*)::BIGINT AS n FROM m GROUP BY out_id, surface")
 def hot_terms_overlay(spark, d):
-    return M.match_surfaces(_messages(spark, d), P.add_hot_terms((P.MX,), HOT)).groupBy("out_id", "surface").agg(F.count("*").alias("n"))
+    return M.match_surfaces(_folded(spark, d), P.add_hot_terms((Y.MX,), HOT)).groupBy("out_id", "surface").agg(F.count("*").alias("n"))
 
 
-@query("mcr_rules", f"{_BASE}, c AS (SELECT conv_id, list(DISTINCT category) AS cs, (SELECT count(*) FROM norm n WHERE n.conv_id = k.conv_id) AS n FROM k GROUP BY conv_id) SELECT conv_id, array_to_string(list_filter([CASE WHEN list_has_all(cs, ['reclutamiento', 'logistica_fisica']) AND n >= 2 THEN 'MCR-001' END, CASE WHEN list_has_all(cs, ['aislamiento', 'cambio_canal']) AND n >= 3 THEN 'MCR-002' END, CASE WHEN len(cs) >= 4 AND n >= 2 THEN 'MCR-003' END], lambda x: x IS NOT NULL), ',') AS rules FROM c")
+@query("mcr_rules", f"{_TWO}, c AS (SELECT conv_id, list(DISTINCT category) AS cs, list(DISTINCT scoped) AS sc, (SELECT count(*) FROM norm n WHERE n.conv_id = k.conv_id) AS n_messages FROM k GROUP BY conv_id) SELECT conv_id, array_to_string({Q.mcr(PACKS)}, ',') AS rules FROM c")
 def mcr_rules(spark, d):
-    m = _messages(spark, d)
-    k = M.corroborated(M.first_matches(M.match_surfaces(m, (P.MX,)))).groupBy("conv_id").agg(F.collect_set(F.concat(F.lit("MX:"), F.col("category"))).alias("cs"))
-    return k.join(m.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id").select("conv_id", F.array_join(E.rules_fired(F.col("cs"), F.col("n"), (P.MX,)), ",").alias("rules"))
+    m = _folded(spark, d)
+    k = M.terms_of(M.match_surfaces(m, PACKS), lambda xs: M.corroborated(M.claimed(xs))).groupBy("conv_id").agg(F.collect_set("scoped").alias("cs"))
+    return k.join(m.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id").select("conv_id", F.array_join(E.rules_fired(F.col("cs"), F.col("n"), PACKS), ",").alias("rules"))
 
 
-def _flag_sql(table: dict) -> str:
-    return ", ".join(f"bool_or(regexp_matches(text, {_q(P.any_pattern(v))})) AS \"{k}\"" for k, v in table.items())
+def _analysis(spark, d, dictionaries=Y.BOTH, **more) -> DataFrame:
+    return E.analyze(_messages(spark, d), dictionaries, full_normalize=False, **more)
 
 
-@query("v4_lexicons", f"WITH {_NORM} SELECT conv_id, {_flag_sql(P.LEXICONS)} FROM norm GROUP BY conv_id")
-def v4_lexicons(spark, d):
-    return M.pattern_flags(_messages(spark, d)).groupBy("conv_id").agg(*(F.bool_or(f"lex_{k}").alias(k) for k in P.LEXICONS))
+_FLAGS = Q.with_(Q.NORM, *Q.flags(Y.BOTH))
 
 
-@query("intent_accumulation", f"WITH {_NORM}, i AS (SELECT conv_id, {_flag_sql(P.INTENTS)} FROM norm GROUP BY conv_id), s AS (SELECT conv_id, ({' + '.join(f'\"{k}\"::INT' for k in P.INTENTS)})::INT AS n FROM i) SELECT conv_id, n AS n_intents, CASE WHEN n >= 3 THEN 15.0 ELSE 0.0 END::DOUBLE AS bonus FROM s")
-def intent_accumulation(spark, d):
-    n = F.size("intents")
-    return M.pattern_layer(_messages(spark, d)).select("conv_id", n.alias("n_intents"), F.when(n >= 3, 15.0).otherwise(0.0).alias("bonus"))
+def _lexicon_sql() -> str:
+    return ", ".join(f"bool_or({Q.found('text', v)}) AS {k}" for k, v in ((k, [P.fold_key(s) for s in v]) for k, v in PAT.lexicons))
 
 
-def _feature_sql() -> str:
-    out = []
-    for f, (lex, _, logic) in P.FEATURES.items():
-        parts = [f"regexp_matches(text, {_q(P.any_pattern(P.LEXICONS[x]))})" for x in lex]
-        gate = " OR ".join(f"regexp_matches(text, {_q(P.any_pattern(P.LEXICONS[x]))})" for x in ("offer", "act_now"))
-        cond = " AND ".join(parts) if logic == "ALL" else " OR ".join(parts) if logic == "ANY" else f"NOT ({' OR '.join(parts)}) AND ({gate})"
-        out.append(f"bool_or({cond}) AS {f}")
-    return ", ".join(out)
+@query("v4_lexicons", f"WITH {Q.NORM} SELECT conv_id, {_lexicon_sql()} FROM norm GROUP BY conv_id")
+def v4_lexicons(spark, d):
+    rows = M.surface_rows(Y.BOTH)
+    seen = M.matched(_folded(spark, d), rows, ["conv_id", "msg_idx"]).groupBy("conv_id").agg(F.bit_or("mask").alias("mask"))
+    return seen.select("conv_id", *(E._has(F.col("mask"), i).alias(k) for i, (k, _) in enumerate(PAT.lexicons)))
+
+
+@query("intent_accumulation", f"{_FLAGS}, s AS (SELECT conv_id, ({' + '.join(f'\"{i}\"::INT' for i, _ in PAT.intents)})::INT AS n FROM conv) SELECT conv_id, n AS n_intents, CASE WHEN n >= 3 THEN 15.0 ELSE 0.0 END::DOUBLE AS bonus FROM s")
+def intent_accumulation(spark, d):
+    n = F.bit_count(F.bit_or("mask"))
+    got = _folded(spark, d).select("conv_id", E.intent_mask(F.col("text"), PAT).alias("mask")).groupBy("conv_id").agg(n.alias("n_intents"))
+    return got.select("conv_id", "n_intents", F.when(F.col("n_intents") >= CONFIG.intents_needed, CONFIG.intents_bonus).otherwise(0.0).alias("bonus"))
 
 
-_V4 = f"""WITH {_NORM}, a AS (SELECT conv_id, {_feature_sql()}, {_flag_sql({k: v[0] for k, v in P.SIGNALS.items()})}, {_flag_sql(P.INTENTS)} FROM norm GROUP BY conv_id)"""
-_V4_SCORE = " + ".join([f"{f}::INT * {v[1]}" for f, v in P.FEATURES.items()] + [f'"{s}"::INT * {v[1]}' for s, v in P.SIGNALS.items()] + [f"({' AND '.join(need)})::INT * {b}" for need, b in P.COMBINATIONS.values()] + [f"CASE WHEN {' + '.join(f'\"{k}\"::INT' for k in P.INTENTS)} >= 3 THEN 15.0 ELSE 0.0 END"])
+def _named(pairs) -> str:
+    return f"array_to_string({Q.listing(pairs)}, ',')"
 
 
-@query("v4_features", f"{_V4} SELECT conv_id, concat_ws(',', {', '.join(f'CASE WHEN {f} THEN {_q(f)} END' for f in sorted(P.FEATURES))}) AS features FROM a")
+@query("v4_features", f"{_FLAGS} SELECT conv_id, {_named([(f'\"{f.name}\"', f.name) for f in PAT.features])} AS features FROM conv")
 def v4_features(spark, d):
-    return M.pattern_layer(_messages(spark, d)).select("conv_id", F.array_join("features", ",").alias("features"))
+    return _analysis(spark, d).select("conv_id", F.array_join("v4_features", ",").alias("features"))
 
 
-@query("v4_combination", f"{_V4} SELECT conv_id, concat_ws(',', {', '.join(f'CASE WHEN {chr(32).join((chr(32) + "AND" + chr(32)).join(n).split())} THEN {_q(r)} END' for r, (n, _) in P.COMBINATIONS.items())}, CASE WHEN {' + '.join(f'\"{k}\"::INT' for k in P.INTENTS)} >= 3 THEN 'CR-013' END) AS rules, ({_V4_SCORE})::DOUBLE AS score FROM a")
+@query("v4_combination", f"{_FLAGS} SELECT conv_id, array_to_string({Q.v4_rules(PAT)}, ',') AS rules, {Q.v4_score(PAT)} AS score FROM conv")
 def v4_combination(spark, d):
-    return M.pattern_layer(_messages(spark, d)).select("conv_id", F.array_join("rules", ",").alias("rules"), "score")
+    return _analysis(spark, d).select("conv_id", F.array_join("cr", ",").alias("rules"), F.col("v4_score").alias("score"))
 
 
-@query("explicit_signals", f"WITH {_NORM} SELECT conv_id, id, category, min(msg_idx) AS msg_idx FROM (" + " UNION ALL ".join(f"SELECT conv_id, msg_idx, '{k}' AS id, {_q(c)} AS category FROM norm WHERE regexp_matches(text, {_q(P.any_pattern(s))})" for k, (s, _, c) in P.SIGNALS.items()) + ") GROUP BY conv_id, id, category")
+_SAID = " UNION ALL ".join(f'SELECT conv_id, {Q.q(s.id)} AS id, {Q.q(s.category)} AS category, "at_{s.id}" AS msg_idx FROM conv WHERE "{s.id}"' for s in PAT.signals)
+
+
+@query("explicit_signals", f"{_FLAGS} {_SAID}")
 def explicit_signals(spark, d):
-    e = F.explode(F.array_compact(F.array(*(F.when(F.col(k), F.struct(F.lit(k).alias("id"), F.lit(v[2]).alias("category"))) for k, v in P.SIGNALS.items()))))
-    return M.pattern_flags(_messages(spark, d)).select("conv_id", "msg_idx", e.alias("e")).groupBy("conv_id", "e.id", "e.category").agg(F.min("msg_idx").alias("msg_idx"))
+    seen = M.matched(_folded(spark, d), M.surface_rows(Y.BOTH), ["conv_id", "msg_idx"]).where(F.col("e.layer") == M.SIGNAL)
+    return seen.groupBy("conv_id", F.col("e.out_id").alias("id"), F.col("e.category").alias("category")).agg(F.min("msg_idx").alias("msg_idx"))
 
 
-@query("dampener_match", f"WITH {_NORM} SELECT conv_id, {_flag_sql({k: (v[0], *v[1]) for k, v in P.DAMPENERS.items()})} FROM norm GROUP BY conv_id")
+@query("dampener_match", f"{_FLAGS} SELECT conv_id, {_named([(f'\"{x.id}\"', x.id) for x in DAMP])} AS dampeners FROM conv")
 def dampener_match(spark, d):
-    return M.pattern_flags(_messages(spark, d)).groupBy("conv_id").agg(*(F.bool_or(k).alias(k) for k in P.DAMPENERS))
+    return _analysis(spark, d).select("conv_id", _joined("dampeners").alias("dampeners"))
+
+
+_ZERO = Q.with_(Q.RAW, *Q.normalized(N, "raw0"), *Q.flags(Y.BOTH, n0=True))
+_ZERO_RULES = Q.listing([(Q.all_of(c.features), c.id) for c in N.combinations])
+_ZERO_SCORE = Q.total([*((f'"{f.id}"', f.weight) for f in N.features), *((Q.all_of(c.features), c.bonus) for c in N.combinations)])
+
+
+@query("n0_layer", f"{_ZERO} SELECT conv_id, {_named([(f'\"{f.id}\"', f.id) for f in N.features])} AS features, array_to_string({_ZERO_RULES}, ',') AS rules, {_ZERO_SCORE} AS score FROM conv")
+def n0_layer(spark, d):
+    return E.analyze(_messages(spark, d)).select("conv_id", F.array_join("n0_features", ",").alias("features"), F.array_join("n0_rules", ",").alias("rules"), F.col("n0_score").alias("score"))
 
 
 # --- time and actors ----------------------------------------------------------------------------------------------
 def _event_hits(spark, d):
     kinds = F.create_map(*[F.lit(x) for kv in EVENT_CATEGORY.items() for x in kv])
-    return _t(spark, d, "events").select(F.col("user_id").alias("conv_id"), kinds[F.col("event_type")].alias("category"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts_ms"), F.col("event_id").alias("ord"))
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    return _t(spark, d, "events").select(F.col("user_id").alias("conv_id"), kinds[F.col("event_type")].alias("category"), ms.alias("ts_ms"), F.col("event_id").alias("ord"))
 
 
-_EV = "e AS (SELECT user_id AS conv_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN {STAGE_OF[v]}" for k, v in EVENT_CATEGORY.items()) + " END AS k, epoch_us(ts) // 1000 AS ts_ms, event_id AS ord FROM events)"
+_EVENTS = "e AS (SELECT user_id AS conv_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN {Q.q(v)}" for k, v in EVENT_CATEGORY.items()) + " END AS category, epoch_us(ts) // 1000 AS ts_ms, event_id AS ord FROM events)"
+_BURST = "count(*) >= 3 AND round((max(ts_ms) - min(ts_ms)) / 1000) <= 300"
 
 
-@query("velocity", f"WITH {_EV} SELECT conv_id AS user_id, count(*)::BIGINT AS n_hits, CASE WHEN count(*) >= 3 THEN round((max(ts_ms) - min(ts_ms)) / 1000) ELSE 0 END::BIGINT AS window_s, count(*) >= 3 AND round((max(ts_ms) - min(ts_ms)) / 1000) <= 300 AS velocity FROM e GROUP BY conv_id")
+@query("velocity", f"WITH {_EVENTS} SELECT conv_id AS user_id, count(*) AS n_hits, CASE WHEN count(*) >= 3 THEN round((max(ts_ms) - min(ts_ms)) / 1000) ELSE 0 END::BIGINT AS window_s, {_BURST} AS velocity FROM e GROUP BY conv_id")
 def velocity(spark, d):
     return E.velocity(_event_hits(spark, d)).withColumnRenamed("conv_id", "user_id")
 
 
-_LINE = f"WITH {_EV}, s AS (SELECT conv_id, k, min(struct_pack(t := ts_ms, o := ord)) AS f, max(ts_ms) AS last, count(DISTINCT ts_ms // 86400000) AS days FROM e WHERE k IS NOT NULL GROUP BY conv_id, k), l AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY f) AS p FROM s), g AS (SELECT conv_id, string_agg(['ACERCAMIENTO','CONFIANZA','AISLAMIENTO','LOGISTICA'][k + 1], ',' ORDER BY f) AS stages, count(*) AS n, bool_and(p IS NULL OR k > p) AND count(*) >= 2 AS ordered, max(last) - min(f.t) AS span, max(k) AS deepest, coalesce(max(days) FILTER (k = 2), 0) AS iso FROM l GROUP BY conv_id)"
+_LINE = Q.with_(_EVENTS, *Q.progress("e"))
 
 
-@query("stage_timeline", f"{_LINE} SELECT conv_id AS user_id, stages, ordered, round(span / 86400000.0, 2)::DOUBLE AS span_days FROM g")
+@query("stage_timeline", f"{_LINE} SELECT conv_id AS user_id, stages, ordered, span_days FROM line")
 def stage_timeline(spark, d):
-    return E.timeline(_event_hits(spark, d)).select(F.col("conv_id").alias("user_id"), F.array_join("stages", ",").alias("stages"), "ordered", F.col("span_days").cast("double"))
+    return E.timeline(_event_hits(spark, d)).select(F.col("conv_id").alias("user_id"), F.array_join("stages", ",").alias("stages"), "ordered", "span_days")
 
 
-@query("temporal_rules", f"{_LINE} SELECT conv_id AS user_id, concat_ws(',', CASE WHEN n >= 3 AND ordered AND deepest >= 2 AND span >= 172800000 THEN 'TCR-001' END, CASE WHEN iso >= 2 AND n >= 2 AND span >= 604800000 THEN 'TCR-002' END) AS rules FROM g")
+@query("temporal_rules", f"{_LINE} SELECT conv_id AS user_id, array_to_string(tcr, ',') AS rules FROM line")
 def temporal_rules(spark, d):
     return E.timeline(_event_hits(spark, d)).select(F.col("conv_id").alias("user_id"), F.array_join("temporal_rules", ",").alias("rules"))
 
 
-_ACTOR = f"WITH n0 AS (SELECT conv_id, role AS sender, string_agg(lower(strip_accents(trim(coalesce(text, '')))), ' ' ORDER BY turn) AS text, min(turn) AS fi FROM conversations WHERE role <> '' GROUP BY ALL), {_matches((P.MX,), 'n0')}, f AS (SELECT DISTINCT conv_id, sender, canonical_id, category, ambiguous FROM m), k AS (SELECT * FROM f QUALIFY NOT ambiguous OR bool_or(NOT ambiguous AND category <> 'señal_debil') OVER (PARTITION BY conv_id, sender)), p AS (SELECT n0.conv_id, n0.sender, fi, (SELECT count(DISTINCT category) FROM k WHERE k.conv_id = n0.conv_id AND k.sender = n0.sender AND category IN ({', '.join(map(_q, CONFIG.directed))})) AS c FROM n0), t AS (SELECT conv_id, count(*) AS n, sum(c) AS total, max(c) AS top, arg_max(sender, struct_pack(c := c, x := -fi)) AS who FROM p GROUP BY conv_id)"
-
-
-@query("actor_concentration", f"{_ACTOR} SELECT conv_id, n >= 2 AS analyzed, CASE WHEN n >= 2 AND top >= 2 AND top / total >= 0.75 THEN who END AS aggressor, CASE WHEN n >= 2 AND total > 0 THEN round(top / total, 2) ELSE 0.0 END::DOUBLE AS concentration FROM t")
+@query("actor_concentration", Q.with_(Q.NORM, *Q.actor(PACKS)) + " SELECT conv_id, analyzed, aggressor, concentration FROM actor")
 def actor_concentration(spark, d):
-    return E.actors(_messages(spark, d), (P.MX,))
+    return E.actors(_folded(spark, d), PACKS)
 
 
 # --- fusion, decision, evaluation ---------------------------------------------------------------------------------
-@query("risk_decision")
+_FOLDED = Q.with_(*Q.engine(Y.BOTH, [Q.NORM]))
+_KEY = lambda s: T.normalize_surface(s, N).strip()
+_WHOLE = Q.with_(*Q.engine(Y.DICTIONARIES, [Q.RAW, *Q.normalized(N, "raw0")], _KEY, n0=True))
+
+
+def _verdicts(result: DataFrame) -> DataFrame:
+    got = E.flat(result.withColumns({c: F.array_sort(c) for c in Q.LISTS}))
+    return got.select(*Q.PLAIN, "n_messages", "n_hits", "temporal_rules", *Q.LISTS)
+
+
+@query("risk_decision", f"{_FOLDED} SELECT {Q.verdict_columns()} FROM verdict")
 def risk_decision(spark, d):
-    return E.analyze(E.messages_of(_t(spark, d, "conversations")), PACKS, full_normalize=False)
+    return _verdicts(_analysis(spark, d))
 
 
-@query("analyze_full")
+@query("analyze_full", f"{_WHOLE} SELECT {Q.verdict_columns()} FROM verdict")
 def analyze_full(spark, d):
-    return E.analyze(E.messages_of(_t(spark, d, "conversations")))
+    return _verdicts(E.analyze(_messages(spark, d)))
 
 
-@query("risk_counts")
+@query("risk_counts", f"{_WHOLE} SELECT risk, reason, recruiter_action, count(*) AS n FROM verdict GROUP BY ALL")
 def risk_counts(spark, d):
-    return analyze_full(spark, d).groupBy("risk", "reason", "plan").agg(F.count("*").alias("n"))
+    return analyze_full(spark, d).groupBy("risk", "reason", "recruiter_action").agg(F.count("*").alias("n"))
 
 
-_DAMP = f"{_BASE}, q AS (SELECT conv_id, {_flag_sql({k: (v[0], *v[1]) for k, v in P.DAMPENERS.items()} | {k: v[0] for k, v in P.SIGNALS.items()})} FROM norm GROUP BY conv_id)"
-_FACTOR = "least(" + ", ".join(f"CASE WHEN q.\"{k}\" AND NOT ({' OR '.join(f'q.\"{s}\"' for s in P.SIGNALS)}) AND category IN ({', '.join(map(_q, c))}) AND category <> 'aislamiento' THEN {f} ELSE 1.0 END" for k, (_, _, c, f, _) in P.DAMPENERS.items()) + ")"
+@query("escalation_policy", f"{_FOLDED} SELECT reason, escalate, count(*) AS n, count(*) FILTER (proof) AS with_proof FROM verdict GROUP BY ALL")
+def escalation_policy(spark, d):
+    r = _analysis(spark, d)
+    proof = (F.size("mcr") + F.size("cr") + F.size("n0_rules") + F.size("signals") + F.size("temporal_rules") > 0) | F.col("aggressor").isNotNull()
+    return r.groupBy("reason", "escalate").agg(F.count("*").alias("n"), F.count_if(proof).alias("with_proof"))
 
 
-@query("dampened_score", f"{_DAMP} SELECT conv_id, sum(round(weight * {_FACTOR}::DOUBLE))::DOUBLE AS score FROM k JOIN q USING (conv_id) GROUP BY conv_id")
+@query("dampened_score", f"{_FOLDED} SELECT conv_id, v3_score AS score FROM verdict")
 def dampened_score(spark, d):
-    m = _messages(spark, d)
-    k = M.corroborated(M.first_matches(M.match_surfaces(m, (P.MX,))))
-    layer = M.pattern_layer(m).select("conv_id", F.when(F.size("signals") > 0, F.array().cast("array<string>")).otherwise(F.col("dampeners")).alias("active"))
-    factor = F.lit(1.0)
-    for name, (_, _, cats, f, _) in P.DAMPENERS.items():
-        factor = F.least(factor, F.when(F.array_contains("active", name) & F.col("category").isin(*cats) & (F.col("category") != "aislamiento"), f).otherwise(1.0))
-    return k.join(layer, "conv_id").groupBy("conv_id").agg(F.sum(F.round(F.col("weight") * factor)).alias("score"))
+    return _analysis(spark, d).select("conv_id", F.col("v3_score").alias("score"))
 
 
-@query("age_adjusted_score", f"{_BASE} SELECT conv_id, sum(round(weight * CASE WHEN conv_id % 2 = 0 AND category = 'aislamiento' THEN 1.5 WHEN conv_id % 2 = 0 AND category = 'cambio_canal' THEN 1.3 ELSE 1.0 END::DOUBLE))::DOUBLE AS score FROM k GROUP BY conv_id")
+_BAND = "(['" + "', '".join(AGE_BANDS) + "', 'none'])[conv_id % 5 + 1]"
+
+
+@query("age_adjusted_score", f"{_MX} SELECT conv_id, sum(round(weight * {Q.age(_BAND)}::DOUBLE)) AS score FROM k GROUP BY conv_id")
 def age_adjusted_score(spark, d):
-    k = M.corroborated(M.first_matches(M.match_surfaces(_messages(spark, d), (P.MX,))))
-    f = F.lit(1.0)
-    for c, x in CONFIG.age_factor["child"].items():
-        f = F.when((F.col("conv_id") % 2 == 0) & (F.col("category") == c), x).otherwise(f)
-    return k.groupBy("conv_id").agg(F.sum(F.round(F.col("weight") * f)).alias("score"))
+    m = _messages(spark, d).withColumn("age_band", F.get(F.array(*map(F.lit, (*AGE_BANDS, "none"))), (F.col("conv_id") % 5).cast("int")))
+    got = E.analyze(m, P.Dictionaries((Y.MX,)), full_normalize=False)
+    return got.where("size(v3_terms) > 0").select("conv_id", F.col("v3_score").alias("score"))
+
+
+def _raw_sql() -> str:
+    return "raws AS (SELECT conv_id, " + ", ".join(f"sum(({v})::INT) AS {k}" for k, v in _PREDICATES.items()) + " FROM norm GROUP BY conv_id)"
 
 
-def _raw_features(spark, d):
-    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.count_distinct("role").alias("n_senders"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").contains("?")).alias("questions"))
+def _vector_sql() -> str:
+    sat = lambda x, m: f"greatest(0.0, least(1.0, ({x}) / {float(m)}))"
+    of = {"evasions": "0"} | {c: f"len({c})" for c in ("categories", "v3_terms", "mcr", "cr", "signals")}
+    graded = [sat(of.get(c, c), m) for _, c, m in X._GRADED]
+    flag = [f"({c})::INT" for c in ("velocity", "len(tcr) > 0", "aggressor IS NOT NULL", "len(dampeners_applied) > 0")]
+    cats = [f"list_contains(categories, {Q.q(c)})::INT" for c in X._CATEGORIES]
+    text = ["imperative / n_messages", "(second_person > 0)::INT", "question / n_messages", "(money > 0)::INT", "(meet > 0)::INT", sat('"length" / n_messages', 200)]
+    return ", ".join(f"round(({x})::DOUBLE, 9) AS {n}" for n, x in zip(X.NAMES, [*graded, *flag, *cats, *text], strict=True))
 
 
-_FEAT = "r AS (SELECT conv_id, greatest(0.0, least(1.0, count(*) / 10.0)) AS a, greatest(0.0, least(1.0, count(DISTINCT role) / 4.0)) AS b, greatest(0.0, least(1.0, (sum(length(text)) / count(*)) / 200.0)) AS c FROM conversations GROUP BY conv_id)"
-_USED = {"n_messages": 10.0, "n_senders": 4.0, "avg_len": 200.0}
+_FEATURED = f"{_FOLDED}, {_raw_sql()}, feats AS (SELECT conv_id, {_vector_sql()} FROM verdict JOIN raws USING (conv_id))"
+MODEL = X.LinearModel(tuple(round(((k * 37) % 23 - 11) / 10, 2) for k in range(len(X.NAMES))), -0.4)
 
 
-@query("featurize", f"WITH {_FEAT} SELECT conv_id, round(a, 6)::DOUBLE AS a, round(b, 6)::DOUBLE AS b, round(c, 6)::DOUBLE AS c FROM r")
+def _features(spark, d):
+    return X.featurize(_analysis(spark, d, raw_features=X.text_predicates))
+
+
+@query("featurize", f"{_FEATURED} SELECT * FROM feats")
 def featurize(spark, d):
-    v = V.feature_vector(_raw_features(spark, d).withColumn("avg_len", F.col("chars") / F.col("n_messages")), _USED)
-    return v.select("conv_id", *(F.round(F.col("features")[i], 6).alias(n) for i, n in enumerate("abc")))
+    return _features(spark, d).select("conv_id", *(F.round(F.col("features")[i], 9).alias(n) for i, n in enumerate(X.NAMES)))
+
+
+_DOT = " + ".join(f"({w}) * {n}" for n, w in zip(X.NAMES, MODEL.coefficients, strict=True))
 
 
-@query("shadow_score", f"WITH {_FEAT} SELECT conv_id, round(1 / (1 + exp(-(-0.5 + 1.5 * a - 2.0 * b + 0.7 * c))), 6)::DOUBLE AS probability FROM r")
+@query("shadow_score", f"{_FEATURED} SELECT conv_id, round(1 / (1 + exp(-({MODEL.bias} + {_DOT}))), 6)::DOUBLE AS probability FROM feats")
 def shadow_score(spark, d):
-    v = V.feature_vector(_raw_features(spark, d).withColumn("avg_len", F.col("chars") / F.col("n_messages")), _USED)
-    return V.shadow_score(v, [1.5, -2.0, 0.7], -0.5, 3).select("conv_id", F.round("probability", 6).alias("probability"))
+    return X.shadow_score(_features(spark, d), MODEL).select("conv_id", F.round("probability", 6).alias("probability"))
+
+
+_ACTUAL = "conv_id % 3 = 0"
+_SHADOWED = f"{_FEATURED}, seen AS (SELECT conv_id, risk <> 'LOW' AS lexical, 1 / (1 + exp(-({MODEL.bias} + {_DOT}))) >= 0.5 AS shadow, {_ACTUAL} AS actual FROM feats JOIN verdict USING (conv_id))"
+
+
+@query("shadow_comparison", f"{_SHADOWED} SELECT CASE WHEN lexical = actual AND shadow = actual THEN 'both_correct' WHEN lexical = actual THEN 'lexical_only' WHEN shadow = actual THEN 'shadow_only' ELSE 'both_wrong' END AS class, count(*) AS n FROM seen GROUP BY 1")
+def shadow_comparison(spark, d):
+    r = X.observe(_analysis(spark, d, raw_features=X.text_predicates), MODEL)
+    kind = X.comparison(F.col("lexical_risk") != "LOW", F.col("shadow_probability") >= MODEL.threshold, F.expr(_ACTUAL))
+    return r.groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
 
 
 def _judged(spark, d):
@@ -320,31 +408,38 @@ def _judged(spark, d):
 _CONF = "count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn"
 _JUDGED = "j AS (SELECT *, n_chars > 2000 AS p, toxic = 1 AS a FROM documents JOIN labels USING (doc_id))"
 _RATIOS = "round(coalesce(tp / nullif(tp + fp, 0), 0), 9)::DOUBLE AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9)::DOUBLE AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9)::DOUBLE AS f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 9)::DOUBLE AS fpr, round((tp + tn) / (tp + fp + fn + tn), 9)::DOUBLE AS accuracy"
+_METRICS = ("precision", "recall", "f1", "fpr", "accuracy")
 
 
 @query("eval_confusion", f"WITH {_JUDGED}, c AS (SELECT {_CONF} FROM j) SELECT tp, fp, fn, tn, {_RATIOS} FROM c")
 def eval_confusion(spark, d):
-    c = V.confusion(_judged(spark, d), "p", "a")
-    return c.select("tp", "fp", "fn", "tn", *(F.round(x, 9).alias(x) for x in ("precision", "recall", "f1", "fpr", "accuracy")))
+    return V.confusion(_judged(spark, d), "p", "a").select("tp", "fp", "fn", "tn", *(F.round(x, 9).alias(x) for x in _METRICS))
 
 
 @query("eval_by_group", f"WITH {_JUDGED}, c AS (SELECT lang, {_CONF} FROM j GROUP BY lang) SELECT lang, tp, fp, fn, tn, {_RATIOS} FROM c")
 def eval_by_group(spark, d):
-    c = V.confusion(_judged(spark, d), "p", "a", "lang")
-    return c.select("lang", "tp", "fp", "fn", "tn", *(F.round(x, 9).alias(x) for x in ("precision", "recall", "f1", "fpr", "accuracy")))
+    return V.confusion(_judged(spark, d), "p", "a", "lang").select("lang", "tp", "fp", "fn", "tn", *(F.round(x, 9).alias(x) for x in _METRICS))
 
 
-@query("eval_action_model", f"WITH {_JUDGED} SELECT count(*) FILTER (n_chars > 4000 AND NOT a) AS false_blocks, count(*) FILTER (n_chars BETWEEN 2001 AND 4000 AND NOT a) AS benign_review, count(*) FILTER (NOT p AND a) AS missed, round(avg((n_chars BETWEEN 2001 AND 4000)::INT), 9)::DOUBLE AS escalated FROM j")
+_ACTED = f"{_FOLDED}, j AS (SELECT *, {_ACTUAL} AS a FROM verdict)"
+_RATE = "round(coalesce(count(*) FILTER ({0} AND {1}) / nullif(count(*) FILTER ({1}), 0), 0), 9)::DOUBLE AS {2}"
+
+
+@query("eval_action_model", f"{_ACTED} SELECT count(*) FILTER (risk IN ('HIGH', 'CRITICAL') AND NOT a) AS false_blocks, {_RATE.format(chr(114) + ' >= 2', 'NOT a', 'false_block_rate')}, {_RATE.format('r = 1', 'NOT a', 'benign_review_rate')}, count(*) FILTER (r = 0 AND a) AS missed_risks, {_RATE.format('r = 0', 'a', 'miss_rate')}, {_RATE.format('r > 0', 'a', 'risk_reach_rate')} FROM j")
 def eval_action_model(spark, d):
-    review = F.col("n_chars").between(2001, 4000)
-    return _judged(spark, d).agg(F.count_if((F.col("n_chars") > 4000) & ~F.col("a")).alias("false_blocks"), F.count_if(review & ~F.col("a")).alias("benign_review"), F.count_if(~F.col("p") & F.col("a")).alias("missed"), F.round(F.avg(review.cast("int")), 9).alias("escalated"))
+    got = V.action_metrics(_analysis(spark, d).withColumn("a", F.expr(_ACTUAL)), "risk", "a")
+    return got.select(*(F.round(c, 9).alias(c) if c.endswith("rate") else c for c in got.columns))
 
 
-@query("shadow_comparison", f"WITH {_JUDGED} SELECT CASE WHEN p = a AND (quality = 1) = a THEN 'both_correct' WHEN p = a THEN 'lexical_only' WHEN (quality = 1) = a THEN 'shadow_only' ELSE 'both_wrong' END AS class, count(*)::BIGINT AS n FROM j GROUP BY 1")
-def shadow_comparison(spark, d):
-    lexical, shadow = F.col("p") == F.col("a"), (F.col("quality") == 1) == F.col("a")
-    kind = F.when(lexical & shadow, "both_correct").when(lexical, "lexical_only").when(shadow, "shadow_only").otherwise("both_wrong")
-    return _judged(spark, d).groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+@query("eval_escalation", f"{_ACTED} SELECT {_RATE.format('escalate', 'NOT a', 'benign_escalation_rate')}, {_RATE.format('r > 0', 'a', 'risk_coverage')} FROM j")
+def eval_escalation(spark, d):
+    got = V.escalation_metrics(_analysis(spark, d).withColumn("a", F.expr(_ACTUAL)), "risk", "escalate", "a")
+    return got.select(*(F.round(c, 9).alias(c) for c in got.columns))
+
+
+@query("roc_auc", f"WITH {_JUDGED}, s AS (SELECT n_chars AS s, a::INT AS a FROM j), p AS (SELECT s, a, rank() OVER (ORDER BY s) AS lo, count(*) OVER (PARTITION BY s) AS k FROM s) SELECT round((sum(lo + (k - 1) / 2) FILTER (a = 1) - sum(a) * (sum(a) + 1) / 2) / (sum(a) * sum(1 - a)), 9)::DOUBLE AS roc_auc FROM p")
+def roc_auc(spark, d):
+    return X.roc_auc(_judged(spark, d).select(F.col("n_chars").alias("s"), "a"), "s", "a").select(F.round("roc_auc", 9).alias("roc_auc"))
 
 
 @query("latency_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, round(avg(value), 6)::DOUBLE AS mean, max(value) AS max, count(value)::BIGINT AS n FROM events GROUP BY event_type")
@@ -352,18 +447,23 @@ def latency_percentiles(spark, d):
     return V.percentiles(_t(spark, d, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
 
 
+_SIGNS = "".join(map(chr, range(0x21, 0x7F)))
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+_UP = V._LATIN[0] + V._LATIN[0].upper()
+
+
+@query("adversarial_variants", f"SELECT conv_id, turn, translate(text, {Q.q(_UP)}, {Q.q(V._LATIN[1] * 2)}) AS homoglyphs, translate(text, {Q.q(_SIGNS)}, {Q.q(_WIDE)}) AS fullwidth, regexp_replace(regexp_replace(text, '(\\p{{L}})(\\p{{L}})', '\\1' || chr(8203) || '\\2', 'g'), '(\\p{{L}})(\\p{{L}})', '\\1' || chr(8203) || '\\2', 'g') AS invisibles, array_to_string(list_transform(regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: CASE WHEN regexp_matches(w, '^\\p{{L}}{{4,}}$') THEN array_to_string(string_split(w, ''), ' ') ELSE w END), '') AS intra_word_spaces, substr(text, 1, (length(text) // 2)::INT) AS first_half FROM conversations")
+def adversarial_variants(spark, d):
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    made = c.select("conv_id", "turn", *(V.ADVERSARIAL[k](F.col("text")).alias(k) for k in ("homoglyphs", "fullwidth", "invisibles", "intra_word_spaces")))
+    half = V.split_messages(c.withColumn("msg_idx", F.col("turn"))).where("msg_idx % 2 = 0").select("conv_id", "turn", F.col("text").alias("first_half"))
+    return made.join(half, ["conv_id", "turn"])
+
+
 @query("adversarial_survival")
 def adversarial_survival(spark, d):
-    """Per variant: conversations with a match before, and those of them with one after normalization."""
-    base = E.messages_of(_t(spark, d, "conversations"))
-    found = lambda m: M.match_surfaces(m.withColumn("text", T.normalize_steps(F.col("text"))["text"]), (P.MX,)).select("conv_id").distinct()
-    before = found(base)
-    out = None
-    variants = {k: base.withColumn("text", f(F.col("text"))) for k, f in V.ADVERSARIAL.items()} | {"split": V.split_messages(base)}
-    for name, m in variants.items():
-        one = before.join(found(m).withColumn("ok", F.lit(1)), "conv_id", "left").agg(F.count("*").alias("baseline"), F.count("ok").alias("survived")).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.select("variant", "baseline", "survived")
+    """Per variant: conversations that are not LOW as they are, and those of them that still aren't."""
+    return V.survival(_messages(spark, d), E.analyze)
 
 
 # --- sessions -----------------------------------------------------------------------------------------------------
@@ -375,15 +475,21 @@ def session_trim(spark, d):
 @query("session_retention", "SELECT event_id, user_id FROM events WHERE epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 7 * 86400000::BIGINT")
 def session_retention(spark, d):
     ev = _event_hits(spark, d).select(F.col("ord").alias("event_id"), F.col("conv_id").alias("user_id"), "ts_ms")
-    return ev.join(F.broadcast(ev.agg(F.max("ts_ms").alias("now"))), F.col("ts_ms") >= F.col("now") - 7 * 86_400_000).select("event_id", "user_id")
+    now = ev.agg(F.max("ts_ms").alias("now"))
+    return S.retained(ev, now.scalar(), 7).select("event_id", "user_id")
 
 
-@query("escalations")
+@query("escalations", f"{_FOLDED} SELECT conv_id, risk, reason FROM verdict WHERE escalate AND (conv_id % 2 = 0 OR r > 1)")
 def escalations(spark, d):
-    return S.escalations(analyze_full(spark, d)).select("conv_id", "risk", "reason")
+    """With an answer at MEDIUM for every odd conversation in the cache."""
+    cache = _t(spark, d, "conversations").select("conv_id").distinct().where("conv_id % 2 = 1").withColumn("cached_risk", F.lit(1))
+    return S.escalations(_analysis(spark, d), cache).select("conv_id", "risk", "reason")
 
 
-@query("network_reports")
+@query("network_reports", f"{_FOLDED} SELECT v.conv_id, aggressor AS sender, risk, count(*)::INT AS n_texts, array_to_string(list_sort(any_value(categories)), ',') AS categories FROM verdict v JOIN conversations c ON c.conv_id = v.conv_id AND c.role = v.aggressor WHERE NOT escalate AND r > 0 GROUP BY v.conv_id, aggressor, risk")
 def network_reports(spark, d):
-    m = E.messages_of(_t(spark, d, "conversations"))
-    return S.network_reports(E.analyze(m), m).select("conv_id", "sender", "risk", F.size("texts").alias("n_texts"))
+    m = _messages(spark, d)
+    return S.network_reports(_analysis(spark, d), m).select("conv_id", "sender", "risk", F.size("texts").alias("n_texts"), _joined("categories").alias("categories"))
+
+
+assert set(EVENT_CATEGORY.values()) <= set(STAGE_OF)

@@ -1,17 +1,14 @@
-"""Synthetic dictionaries (words of invented prose), pack validation, hot terms, and their dimension tables."""
+"""The dictionaries of the engine as data: region packs, normalizer, patterns, dampeners; validation and hot terms."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field, replace
 
 from hearken.config import STAGE_OF
 
-#: Dictionaries of more surfaces than this are joined by shuffle, smaller ones are broadcast.
-BROADCAST_SURFACES = 50_000
+_PACK_ID = re.compile(r"[A-Z0-9]+(?:-[A-Z0-9]+)*")
 
 
 @dataclass(frozen=True)
@@ -41,33 +38,89 @@ class Pack:
     legacy_ids: bool = False
     threshold: float = 12.0
     schema_version: int = 1
+    display_name: str = ""
+    sources: tuple[str, ...] = ()
+    #: Surfaces that came as hot terms: (term, surfaces that it adds).
+    hot: tuple[tuple[Term, tuple[str, ...]], ...] = ()
+
+
+@dataclass(frozen=True)
+class Feature:
+    """A weighted feature of lexicons. ANY and ALL look at one message; NEGATED holds in a message that none occurs in,
+    with a gate only if one of the gate's features holds in that message."""
+
+    id: str
+    name: str
+    weight: float
+    lexicons: tuple[str, ...]
+    logic: str = "ANY"
+    gate: tuple[str, ...] = ()
+    category: str | None = None
+
+
+@dataclass(frozen=True)
+class Combination:
+    id: str
+    features: tuple[str, ...]
+    bonus: float
+
+
+@dataclass(frozen=True)
+class Signal:
+    id: str
+    label: str
+    surfaces: tuple[str, ...]
+    weight: float
+    category: str
+
+
+@dataclass(frozen=True)
+class Normalizer:
+    """Replacements of layer 0, each in order, and its own substring lexicons, features and combinations."""
+
+    symbols: tuple[tuple[str, str], ...] = ()
+    abbreviations: tuple[tuple[str, str], ...] = ()
+    misspellings: tuple[tuple[str, str], ...] = ()
+    phonetic: tuple[tuple[str, str], ...] = ()
+    lexicons: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    features: tuple[Feature, ...] = ()
+    combinations: tuple[Combination, ...] = ()
+
+
+@dataclass(frozen=True)
+class Patterns:
+    """The second layer: lexicons of surfaces, features and combinations on them, explicit signals, intents (regexes)."""
 
+    lexicons: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    features: tuple[Feature, ...] = ()
+    combinations: tuple[Combination, ...] = ()
+    signals: tuple[Signal, ...] = ()
+    intents: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
-MX = Pack(
-    "MX", "1.0.0", legacy_ids=True,
-    terms=(
-        Term("REC-001", "with", "reclutamiento", 12, ("queda",)),
-        Term("LF-001", "from", "logistica_fisica", 10, ("desde la",)),
-        Term("AI-001", "this", "aislamiento", 8, ("of the",)),
-        Term("CC-001", "that", "cambio_canal", 6, ("para",)),
-        Term("SI-001", "for", "solicitud_informacion", 5, ("por",), True),
-        Term("OE-001", "by", "oferta_economica", 7, ("los",)),
-        Term("MS-001", "was", "manipulacion_social", 4, ("una",)),
-        Term("SD-001", "is", "señal_debil", 2, ("es",)),
-    ),
-    rules=(
-        Rule("MCR-001", 2, ((None, "reclutamiento"), (None, "logistica_fisica"))),
-        Rule("MCR-002", 3, ((None, "aislamiento"), ("MX", "cambio_canal"))),
-        Rule("MCR-003", 2, min_categories=4),
-    ),
-)
-EU = Pack("EU", "0.2.0", (Term("REC-001", "die", "reclutamiento", 9), Term("X-002", "with", "slang_operativo", 3), Term("X-003", "les", "presion_de_grupo", 5, ("des",))))
+
+@dataclass(frozen=True)
+class Dampener:
+    id: str
+    term: str
+    categories: tuple[str, ...]
+    factor: float
+    variants: tuple[str, ...] = ()
+    hard_context: bool = False
+
+
+@dataclass(frozen=True)
+class Dictionaries:
+    packs: tuple[Pack, ...]
+    normalizer: Normalizer = field(default_factory=Normalizer)
+    patterns: Patterns = field(default_factory=Patterns)
+    dampeners: tuple[Dampener, ...] = ()
+    hot_version: int | None = None
 
 
 def validate(packs: tuple[Pack, ...]) -> None:
-    """Raises ValueError on a schema, id, threshold, legacy, uniqueness or reference error."""
+    """Raises ValueError on a schema, id, threshold, legacy, uniqueness or reference error; no packs are one too."""
     ids = [p.id for p in packs]
-    errors = []
+    errors = [] if packs else ["at least one pack is needed"]
     if len(set(ids)) != len(ids):
         errors.append("pack ids repeat")
     if len({p.threshold for p in packs}) > 1:
@@ -75,7 +128,7 @@ def validate(packs: tuple[Pack, ...]) -> None:
     if [p.id for p in packs if p.legacy_ids] not in ([], ["MX"]):
         errors.append("only MX may keep legacy ids")
     for p in packs:
-        if p.schema_version != 1 or not re.fullmatch(r"[A-Z][A-Z0-9_]*", p.id):
+        if p.schema_version != 1 or not _PACK_ID.fullmatch(p.id):
             errors.append(f"{p.id}: schema version or id")
         for what, names in (("term", [t.id for t in p.terms]), ("rule", [r.id for r in p.rules])):
             if len(set(names)) != len(names):
@@ -92,58 +145,78 @@ def validate(packs: tuple[Pack, ...]) -> None:
         raise ValueError("; ".join(errors))
 
 
-def add_hot_terms(packs: tuple[Pack, ...], hot: list[tuple[str, Term]]) -> tuple[Pack, ...]:
-    """Packs with the hot terms whose surfaces no static term of the pack has; an unknown pack is an error."""
+def validate_all(d: Dictionaries) -> None:
+    """validate, and the invariants of the other dictionaries: known lexicons and features, bits of a mask, factors, regexes."""
+    validate(d.packs)
+    errors = []
+    for what, x in (("normalizer", d.normalizer), ("patterns", d.patterns)):
+        lexicons, names = {k for k, _ in x.lexicons}, {f.name for f in x.features}
+        ids = [*(f.id for f in x.features), *(c.id for c in x.combinations)]
+        if len(set(ids)) != len(ids):
+            errors.append(f"{what}: ids repeat")
+        if max(len(lexicons), len(names)) > 62:
+            errors.append(f"{what}: more than 62 lexicons or features")
+        errors += [f"{what}/{f.id}: unknown lexicon" for f in x.features if not set(f.lexicons) <= lexicons or f.logic not in ("ANY", "ALL", "NEGATED")]
+        errors += [f"{what}/{c.id}: unknown feature" for c in x.combinations if not set(c.features) <= names]
+    errors += [f"{s.id}: unknown category" for s in d.patterns.signals if s.category not in STAGE_OF]
+    errors += [f"{x.id}: factor" for x in d.dampeners if not 0 <= x.factor <= 1]
+    for _, regexes in d.patterns.intents:
+        for r in regexes:
+            re.compile(r)
+    if errors:
+        raise ValueError("; ".join(errors))
+
+
+def add_hot_terms(packs: tuple[Pack, ...], hot: Iterable[tuple[str | None, Term]]) -> tuple[Pack, ...]:
+    """Packs with hot terms: surfaces that no entry has are added (see index_of); an unknown pack is an error."""
     by = {p.id: p for p in packs}
     for pack_id, term in hot:
+        pack_id = pack_id or "MX"
         if pack_id not in by:
             raise ValueError(f"unknown pack {pack_id}")
-        have = {s for t in by[pack_id].terms for s in (t.term, *t.variants)}
-        new = [s for s in (term.term, *term.variants) if s not in have]
-        if new:
-            by[pack_id] = replace(by[pack_id], terms=(*by[pack_id].terms, replace(term, term=new[0], variants=tuple(new[1:]))))
+        by[pack_id] = replace(by[pack_id], hot=(*by[pack_id].hot, (term, (term.term, *term.variants))))
     return tuple(by.values())
 
 
+def fold_key(surface: str) -> str:
+    """What a surface is put through without a normalizer: trimmed, lower case, no accents."""
+    import unicodedata
+
+    return re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", surface.strip().lower()))
+
+
+def index_of(pack: Pack, key: Callable[[str], str] = fold_key) -> dict[str, Term]:
+    """Surface key to term. A later equal surface of the pack replaces the term and keeps the place; a hot one only adds."""
+    index: dict[str, Term] = {}
+    for t in pack.terms:
+        for s in (t.term, *t.variants):
+            if k := key(s):
+                index[k] = t
+    for t, surfaces in pack.hot:
+        for s in surfaces:
+            if k := key(s):
+                index.setdefault(k, t)
+    return index
+
+
+def out_id(pack: Pack, local: str) -> str:
+    return local if pack.legacy_ids else f"{pack.id}-{local}"
+
+
+def entries(packs: tuple[Pack, ...], key: Callable[[str], str] = fold_key) -> list[tuple]:
+    """(pack_idx, entry_idx, pack_id, out_id, canonical_id, surface, category, weight, ambiguous): one per surface."""
+    return [
+        (k, n, p.id, out_id(p, t.id), f"{p.id}-{t.id}", s, t.category, float(t.weight), t.requires_corroboration)
+        for k, p in enumerate(packs)
+        for n, (s, t) in enumerate(index_of(p, key).items())
+    ]
+
+
 def surface_pattern(surface: str) -> str:
     """Word-bounded, blank-tolerant pattern that Java and RE2 both take."""
     body = r"\s+".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", w) for w in surface.split())
     return rf"(?:^|[^\p{{L}}\p{{N}}]){body}(?:[^\p{{L}}\p{{N}}]|$)"
 
 
-def entries(packs: tuple[Pack, ...]) -> list[tuple]:
-    """(pack_idx, entry_idx, pack_id, out_id, canonical_id, surface, category, weight, ambiguous): one per surface;
-    within a pack a later equal surface replaces the entry and keeps its place."""
-    out = []
-    for k, p in enumerate(packs):
-        index: dict[str, Term] = {}
-        for t in p.terms:
-            for s in (t.term, *t.variants):
-                index[s.strip().lower()] = t
-        for n, (s, t) in enumerate(index.items()):
-            out.append((k, n, p.id, t.id if p.legacy_ids else f"{p.id}-{t.id}", f"{p.id}-{t.id}", s, t.category, float(t.weight), t.requires_corroboration))
-    return out
-
-
-def entry_table(spark: SparkSession, packs: tuple[Pack, ...]) -> DataFrame:
-    """The surfaces with first token and pattern, ready to join; broadcast while small."""
-    rows = [(*e, re.findall(r"[^\W_]+", e[5])[0] if re.search(r"[^\W_]", e[5]) else None, len(e[5].split()) == 1 and e[5].isalnum(), surface_pattern(e[5])) for e in entries(packs)]
-    table = spark.createDataFrame(rows, "pack_idx int, entry_idx int, pack_id string, out_id string, canonical_id string, surface string, category string, weight double, ambiguous boolean, token string, whole boolean, pattern string")
-    return F.broadcast(table) if len(rows) <= BROADCAST_SURFACES else table
-
-
-#: Lexicons and what is built on them, of the second (pattern) layer.
-LEXICONS = {"offer": ("by", "los"), "act_now": ("to", "que"), "money": ("tion", "ción"), "secret": ("of", "de"), "peers": ("and", "und"), "place": ("in", "en"), "time": ("on", "der"), "violence": ("thth", "zz")}
-FEATURES = {"F001": (("offer",), 1.0, "ANY"), "F002": (("act_now",), 1.0, "ANY"), "F003": (("money",), 1.0, "NEGATED"), "F004": (("money",), 2.0, "ANY"), "F005": (("secret",), 3.0, "ANY"), "F006": (("peers",), 2.0, "ANY"), "F008": (("place", "time"), 4.0, "ALL"), "F010": (("violence",), 20.0, "ANY")}
-COMBINATIONS = {"CR-001": (("F001", "F002"), 5.0), "CR-002": (("F001", "F002", "F003"), 8.0), "CR-003": (("F004", "F002"), 6.0), "CR-004": (("F005", "F001"), 10.0), "CR-005": (("F006", "F002"), 8.0), "CR-008": (("F008",), 10.0), "CR-010": (("F010", "F002"), 10.0)}
-SIGNALS = {"EX-001": (("at the",), 9.0, "logistica_fisica"), "EX-002": (("to the", "de la"), 10.0, "aislamiento"), "EX-003": (("en the", "und die"), 8.0, "reclutamiento")}
-INTENTS = {"INT-001": ("a the",), "INT-002": ("the and", "y la"), "INT-003": ("in the", "en el"), "INT-004": ("it the",), "INT-005": ("ed the",)}
-DAMPENERS = {"DMP-01": ("it", ("ti",), ("reclutamiento", "oferta_economica"), 0.4, True), "DMP-02": ("ble", ("son",), ("manipulacion_social", "aislamiento"), 0.5, False), "DMP-03": ("are", (), ("logistica_fisica",), 0.7, False)}
-ABBREVIATIONS = {"th": "that", "nd": "and", "q": "que", "re": "regarding", "st": "street"}
-SYMBOLS = (("***", "stars"), ("###", "hashes"), ("%%%", "percent"))
-MISSPELLINGS = (("thsh", "this"), ("edst", "best"))
-PHONETIC = ((r"k", "qu"), (r"ph", "f"), (r"(.)\1", r"$1"))
-
-
-def any_pattern(surfaces: tuple[str, ...]) -> str:
+def any_pattern(surfaces: Iterable[str]) -> str:
     return "|".join(surface_pattern(s) for s in surfaces)
