@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def file_system(uri: str):
+    """(Arrow file system, path) of a folder or file; Hadoop's names of S3 are Arrow's s3."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

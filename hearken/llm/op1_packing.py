@@ -81,12 +81,15 @@ def plan_best_fit(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int,
 
 
 def tokenized_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece of at most `limit` ids; a document ends with id 1."""
+    """doc_id, piece, start, length, ids_crc32 of each piece of at most `limit` ids; a document ends with id 1.
+
+    `salt` numbers the pieces that a task makes, so that copies of a row, whatever their id, can be dealt to buckets.
+    """
     small_batches(docs.sparkSession)
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
+        bpe, made = word_bpe(path), 0
         for batch in batches:
             rows, crcs = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
@@ -95,13 +98,14 @@ def tokenized_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFram
                     rows.append((k, at // (4 * limit), at // 4, min(limit, (len(ids) - at) // 4)))
                     crcs.append(zlib.crc32(ids[at : at + 4 * limit]))
             a = np.array(rows, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2]), pa.array(a[:, 3]), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a[:, 0])), pa.array(a[:, 1].astype(np.int32)), pa.array(a[:, 2]), pa.array(a[:, 3]), pa.array(crcs, pa.int64()), pa.array(np.arange(made, made + len(a)))], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            made += len(a)
 
-    return docs.select("doc_id", text_of().alias("t")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", text_of().alias("t")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def assign_slots(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """`pieces` with sequence_id and offset. It must read the same rows each time: a written table, say.
+    """`pieces` (of tokenized_pieces, with its salt) with sequence_id and offset. It must read the same rows each time: a written table, say.
 
     Only the histogram (at most `limit` rows) reaches the driver, and only the plan, whose size depends on `limit`
     alone, goes to the tasks. Equal rows take different slots.
@@ -111,11 +115,11 @@ def assign_slots(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     slots = np.array(sorted(plan_best_fit(counts, limit)), np.int64).reshape(-1, 5)
     plan = spark.sparkContext.broadcast((slots[:, 0] << 44 | slots[:, 1], slots))
     buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("long")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(buckets)).cast("long")
     own = pieces.withColumn("bucket", bucket)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = own.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = own.withColumn("r", F.row_number().over(inside)).join(offsets, ["length", "bucket"]).withColumn("r", F.col("r") - 1 + F.col("skip"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

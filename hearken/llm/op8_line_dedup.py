@@ -16,8 +16,6 @@ from hearken.llm.common import text_of, written
 
 #: Shorter lines are only compared exactly: one word would be over a fifth of them.
 MIN_WORDS = 5
-#: Up to so many rows a table of places is broadcast (some 40 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def _raw_lines(docs: DataFrame) -> DataFrame:
@@ -27,7 +25,7 @@ def _raw_lines(docs: DataFrame) -> DataFrame:
 
 
 def _words() -> Column:
-    return F.filter(F.split(F.col("line"), r"[\t-\r ]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " "), "")
 
 
 def _place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
@@ -35,12 +33,18 @@ def _place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col(line_no).alias("line_no"), F.col("doc_hash").alias("doc_hash"))
 
 
-def _halves() -> Column:
+def _halves(min_words: int) -> Column:
     """Hashes of the first and last c words, c about half of the words, for both c that a near line may use."""
     n = F.size("words")
     c = lambda m: F.floor((m - 1) / 2).cast("int")
     ends = lambda k: [F.xxhash64(F.lit("first"), k, F.slice("words", F.lit(1), k)), F.xxhash64(F.lit("last"), k, F.slice("words", n - k + 1, k))]
-    return F.when(n < MIN_WORDS, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.array(*ends(c(n)), *ends(c(n + 1)))))
+    return F.when(n < min_words, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.array(*ends(c(n)), *ends(c(n + 1)))))
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """docs beside the list of their (id, hash of the text); both are shuffled and merged, so neither need fit in memory."""
+    keyed = docs.withColumn("__key", F.xxhash64(text_of("text")))
+    return keyed.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
 
 
 def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -48,11 +52,13 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     halves = firsts.where(F.size("halves") > 0).select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half")
     wanted = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    places = written(firsts.join(wanted, ["h1", "h2"]).select("h1", "h2", "first.*"), "line-places")
-    few = places.count() <= BROADCAST_ROWS
-    by = places.select("h1", "h2", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "line_no", "doc_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("line_no") == F.col("p_line_no")) & (F.col("doc_hash") == F.col("p_doc_hash"))
-    found = _raw_lines(docs).join(F.broadcast(by) if few else by, same).select("h1", "h2", _words().alias("words"), _place().alias("place")).dropDuplicates(["h1", "h2"])
+    places = firsts.join(wanted, ["h1", "h2"]).select("h1", "h2", "first.*")
+    # the places of a document meet its text once; only the lines at them are parted from it
+    by = places.groupBy("doc_id", "doc_hash").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("at")).withColumnsRenamed({"doc_id": "__id", "doc_hash": "__hash"})
+    met = _with_lists(docs.select("doc_id", "text"), by).where("at is not null").withColumn("parts", F.split(text_of("text"), "\n", -1))
+    line = met.select("doc_id", F.col("__key").alias("doc_hash"), "parts", F.explode("at").alias("a"))
+    found = line.select("doc_id", "doc_hash", "a.line_no", "a.h1", "a.h2", F.get("parts", F.col("a.line_no")).alias("line"))
+    found = found.select("h1", "h2", _words().alias("words"), _place().alias("place")).dropDuplicates(["h1", "h2"])
     # ids that grow in the order of places: partitions of a sort are in order, and so are the ids in each
     lines = written(found.orderBy("place").select("h1", "h2", "words", F.monotonically_increasing_id().alias("id")), "near-lines")
 
@@ -81,18 +87,21 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(lines, "id").join(theirs, "e").where(equal).select("h1", "h2").distinct()
 
 
-def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, counts: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the lines that repeat an earlier line; with counts, also n_lines and n_dropped (of lines with words).
 
-    A line goes if an equal one stands before it (by doc_id, then place) or, with MIN_WORDS words or more, one that
+    A line goes if an equal one stands before it (by doc_id, then place) or, with min_words words or more, one that
     a single edit of a word makes equal, be that one kept or not; the earliest of equal lines stays otherwise.
     Kept lines and blank ones keep their order and spelling; a text that loses nothing is unchanged, null included;
     a text that loses all its lines is empty. Rows without doc_id come last; copies of a row (equal id and text) are
-    one document, treated alike; other columns pass through; no documents give no rows.
+    one document, treated alike; other columns pass through, but for n_lines and n_dropped, which counts replace, and
+    those named __id, __hash, __gone or __key, which are an error; no documents give no rows.
     """
+    if clash := {"__id", "__hash", "__gone", "__key"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are used within")
     h = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.size("words"), F.col("words")).alias("h2")]
     worded = _raw_lines(docs).select("doc_id", "doc_hash", "line_no", _words().alias("words")).where(F.size("words") > 0)
-    lines = written(worded.select("doc_id", "doc_hash", "line_no", *h, _halves().alias("halves")), "lines")
+    lines = written(worded.select("doc_id", "doc_hash", "line_no", *h, _halves(min_words).alias("halves")), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("k"), F.min("halves").alias("halves"))
     near = written(_near_lines(docs, firsts), "near").withColumn("near", F.lit(True))
     flagged = firsts.select("h1", "h2", "first", "k").join(near, ["h1", "h2"], "left").where("k > 1 or near")
@@ -100,11 +109,11 @@ def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     gone = lines.select("doc_id", "doc_hash", "line_no", "h1", "h2").join(flagged, ["h1", "h2"]).where(drop)
     lists = gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "doc_hash": "__hash"})
     text, parts = text_of("text"), F.split(F.col("text"), "\n", -1)
-    joined = docs.withColumn("__key", F.xxhash64(text)).join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
+    joined = _with_lists(docs, lists)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n")
     n_lines = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\t-\r ]"))).cast("long")
     n_dropped = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and not (counts and c in ("n_lines", "n_dropped"))]
     return joined.select(*others, F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text"), *([n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] if counts else []))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -13,6 +14,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hearken.llm import op1_packing, op2_toxicity, op3_lattice, op4_word_bpe, op5_simhash, op6_token_counts, op7_warc, op8_line_dedup, op9_chat, op10_topk
@@ -246,6 +248,34 @@ def test_warc_round_trip(spark):
     assert op7_warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_copies_have_one_response(spark, tmp_path):
+    rows = [(1, "a", "x" * 500)] * 4 + [(2, "b", "x" * 500), (7, "c", "other")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("clash")).withColumn("offset", F.lit(1)).repartition(4).write.parquet(f"{tmp_path}/pages")
+    got = op7_warc.round_trip(spark.read.parquet(f"{tmp_path}/pages")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got) == [(1, "response", 0), *[(1, "revisit", 1)] * 3, (2, "revisit", 1), (7, "response", 0)]
+    least = op7_warc.read_records(op7_warc.write_archives(spark.read.parquet(f"{tmp_path}/pages"), min_bytes=501))
+    assert {r.record_type for r in least.collect()} == {"response"}
+
+
+def test_long_chats_take_time_in_proportion(spark):
+    took = []
+    for n in (1_000, 4_000, 16_000):
+        turns = spark.createDataFrame([(1, i, "assistant" if i // 3 % 2 else "user", f"text {i} of ### it") for i in range(n)], "conv_id long, turn long, role string, text string").coalesce(1)
+        begin = time.time()
+        r = op9_chat.digests(turns).first()
+        took.append(time.time() - begin)
+        assert r.n_turns == n and r.loss_chars == sum(len(f"text {i} of ### it") for i in range(n) if i // 3 % 2)
+    assert took[2] < 8 * took[1] + 5
+
+
+def test_odd_chats(spark):
+    rows = [(None, 1, "user", "a"), (None, None, "assistant", "b"), (1, 1, "assistant", "\ufeffa\ufeff"), (1, 1, "assistant", "\ufeffa\ufeff"), (1, 1, "assistant", None), (2, 0, None, "😀" * 5_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit(1), "turns": F.lit(2)})
+    got = {r.conv_id: r for r in op9_chat.read_back(op9_chat.format_conversations(df)).collect()}
+    assert [(t.role, t.text) for t in got[None].turns] == [("assistant", "b"), ("user", "a")]
+    assert got[1].loss_texts == ["", "\ufeffa\ufeff", "\ufeffa\ufeff"] and got[2].turns[0].text == "😀" * 5_000 and got[2].loss_texts == []
+
+
 def test_chat_round_trip(spark):
     parts = ["", "\\", "###", "</turn>\n", "<part>", "\\h\\\\t", ": ", "é😀", "</tur"]
     rng = random.Random(7)
