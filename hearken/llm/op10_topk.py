@@ -1,94 +1,143 @@
-"""Exact top-k search by inner product with an M-tree and best-first search.
+"""Exact top-k search by inner product with M-trees and best-first search.
 
-The rows are cut into shards of bounded size; each is an M-tree of pages: a page has a routing vector, a covering
-radius, and each entry's distance to it. For a query q no entry of a page scores more than <q, p> + |q| * radius,
-and no entry x more than <q, p> + |q| * d(x, p). So pages are taken by falling bounds until the k-th score passes
-the next one, and the stored distances spare the inner products of entries that can't enter. Queries are a stated
-set: blocks of them meet every shard, and only k rows per query leave a shard.
+The rows are dealt to shards of bounded size. A shard is one M-tree of pages: an inner page holds children with their
+routing vector, covering radius and distance to the page's own routing vector; a leaf page holds rows with that
+distance. For a query q nothing under a node scores more than <q, r> + |q| * radius, and, before <q, r> is known, more
+than <q, parent> + |q| * (distance to the parent + radius). Nodes are taken from a queue by falling bounds until the
+k-th score passes the next one; the stored distances spare the inner products of children and rows that can't enter.
+
+Trees are built once and written; a task holds one tree and reads the queries, which are written too, block by block.
+So rows aren't copied for blocks of queries, and only k rows a query leave a shard.
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearken.llm.common import written
+from hearken.llm.common import file_system, new_path, written
+
+#: Rows of a leaf page, children of an inner page, rows of a shard, queries that a task holds at a time.
+PAGE, FANOUT, SHARD_ROWS, BLOCK_ROWS = 64, 16, 32_768, 1024
+_EXACT = 2.0**53  # products whose norms stay below it are sums of exact doubles
+_LONG = 2**63
+
 
-PAGE, SHARD_ROWS, BLOCK_ROWS = 64, 32_768, 512
-_EXACT = 2.0**52  # sums below it are exact in double precision
+def _far(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances from p, rounded up."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(np.sqrt(((x - p) ** 2).sum(1)) * (1 + 1e-9) + 1e-6, nan=np.inf)
+
+
+def _low(score: int) -> float:
+    """A double at or below an exact score."""
+    try:
+        return float(score) - abs(float(score)) * 1e-15
+    except OverflowError:
+        return float(np.finfo(float).max) if score > 0 else -np.inf
 
 
 class MTree:
-    """Pages over the integer rows x (doubles), built by halving along the line between two far rows."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, page: int = PAGE):
-        pages, todo = [], [np.arange(len(ids))]
-        while todo:
-            rows = todo.pop()
-            if len(rows) <= page:
-                pages.append(rows)
-                continue
-            own = x[rows]
-            a = own[np.argmax(((own - own[0]) ** 2).sum(1))]
-            b = own[np.argmax(((own - a) ** 2).sum(1))]
-            order = np.argsort(own @ (b - a), kind="stable")
-            todo += [rows[order[len(rows) // 2 :]], rows[order[: len(rows) // 2]]]
-        self.ids, self.rows, self.x = ids, pages, x
-        self.router = np.stack([x[r].mean(0) for r in pages]) if pages else np.zeros((0, x.shape[1]))
-        self.distance = [np.sqrt(((x[r] - p) ** 2).sum(1)) * (1 + 1e-9) + 1e-6 for r, p in zip(pages, self.router, strict=True)]
-        self.radius = np.array([d.max() for d in self.distance])
-        # of a page, the entries far from the router come first: those within the bound are a prefix
-        for k, d in enumerate(self.distance):
-            order = np.argsort(-d, kind="stable")
-            self.rows[k], self.distance[k] = pages[k][order], d[order]
-        self.page_x = [x[r] for r in self.rows]
-        self.page_ids = [ids[r] for r in self.rows]
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's place, ids, scores) of at most k best rows that don't bear the query's id, ties to smaller ids."""
-        norm = np.sqrt((queries**2).sum(1)) * (1 + 1e-9)
-        middle = queries @ self.router.T
-        slack = 1e-6 * (1 + np.abs(middle))
-        bound = middle + norm[:, None] * self.radius + slack
-        order = np.argsort(-bound, axis=1, kind="stable")
-        for n, q in enumerate(queries):
-            ids, scores, least = np.empty(0, np.int64), np.empty(0), -np.inf
-            for p in order[n]:
-                if bound[n, p] < least:
-                    break
-                need = (least - middle[n, p] - slack[n, p]) / norm[n] if norm[n] > 0 else -np.inf
-                take = len(self.rows[p]) if need <= 0 else int(np.searchsorted(-self.distance[p], -need, side="right"))
-                if not take:
+    """A tree over rows x (integers as doubles) with ids. Node n is a leaf with rows or has children; arrays are by node."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, page: int = PAGE, fanout: int = FANOUT):
+        self.ids, self.x = ids, x
+        self.router: list[np.ndarray] = []
+        self.radius: list[float] = []
+        self.members: list[tuple[bool, np.ndarray, np.ndarray]] = []  # leaf?, rows or nodes, their distances to the router
+        self.top = self._node(np.arange(len(ids)), page, fanout)
+        self.norms = np.sqrt((x**2).sum(1)) if len(x) else np.zeros(0)
+
+    def _halves(self, rows: np.ndarray) -> list[np.ndarray]:
+        own = self.x[rows]
+        a = own[np.argmax(((own - own[0]) ** 2).sum(1))]
+        b = own[np.argmax(((own - a) ** 2).sum(1))]
+        scale = np.abs(b - a).max() or 1.0
+        order = np.argsort(own @ ((b - a) / scale), kind="stable")
+        return [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+
+    def _node(self, rows: np.ndarray, page: int, fanout: int) -> int:
+        me = len(self.router)
+        router = self.x[rows].mean(0) if len(rows) else np.zeros(self.x.shape[1])
+        self.router.append(router)
+        self.radius.append(0.0)
+        self.members.append((True, rows, np.zeros(0)))
+        d = _far(self.x[rows], router)
+        self.radius[me] = float(d.max()) if len(d) else 0.0
+        if len(rows) <= page:
+            order = np.argsort(-d, kind="stable")  # those within a bound are a prefix
+            self.members[me] = (True, rows[order], d[order])
+            return me
+        parts = [rows]
+        while len(parts) < fanout and max(map(len, parts)) > page:
+            big = max(range(len(parts)), key=lambda k: len(parts[k]))
+            parts += self._halves(parts.pop(big))
+        kids = np.array([self._node(p, page, fanout) for p in parts])
+        self.members[me] = (False, kids, _far(np.stack([self.router[k] for k in kids]), router))
+        return me
+
+    def _scores(self, q: np.ndarray, norm: float, rows: np.ndarray) -> list:
+        """Exact inner products: by doubles where they can't round, else by integers, brought into the range of a long."""
+        x = self.x[rows]
+        if norm * self.norms[rows].max(initial=0.0) < _EXACT:
+            return (x @ q).astype(np.int64).tolist()
+        own = [int(a) for a in q]
+        return [min(max(sum(a * int(b) for a, b in zip(own, row, strict=True)), -_LONG), _LONG - 1) for row in x.tolist()]
+
+    def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """The k best (score, id), highest first, ties to smaller ids, of rows that don't bear the id `own`."""
+        norm = float(np.sqrt((q**2).sum()))
+        reach = norm * (1 + 1e-9)
+        at = float(q @ self.router[self.top])
+        slack = lambda v: 1e-6 * (1 + np.abs(v)) + 1e-9 * reach * self.norms.max(initial=0.0)
+        queue = [(-np.inf, self.top, at)]
+        best: list[tuple[int, int]] = []  # a heap: the worst first, as (score, -id)
+        while queue:
+            bound, node, at = heapq.heappop(queue)
+            least = _low(best[0][0]) if len(best) == k else -np.inf
+            if -bound < least:
+                break
+            leaf, kids, d = self.members[node]
+            up = np.nan_to_num(at + slack(at) + reach * d, nan=np.inf)
+            if leaf:
+                rows = kids[up >= least]
+                if not len(rows):
                     continue
-                s, i = self.page_x[p][:take] @ q, self.page_ids[p][:take]
-                good = (s >= least) & (i != own[n])
-                if not good.any():
-                    continue
-                ids, scores = np.concatenate([ids, i[good]]), np.concatenate([scores, s[good]])
-                if len(ids) > k:
-                    best = np.lexsort((ids, -scores))[:k]
-                    ids, scores = ids[best], scores[best]
-                if len(ids) >= k:
-                    least = scores.min()
-            best = np.lexsort((ids, -scores))
-            yield n, ids[best], scores[best]
+                for s, i in zip(self._scores(q, norm, rows), self.ids[rows].tolist(), strict=True):
+                    if i == own:
+                        continue
+                    if len(best) < k:
+                        heapq.heappush(best, (s, -i))
+                    elif (s, -i) > best[0]:
+                        heapq.heapreplace(best, (s, -i))
+                continue
+            radii = np.array([self.radius[c] for c in kids])
+            open_ = np.flatnonzero(np.nan_to_num(up + reach * radii, nan=np.inf) >= least)  # by the parent's product alone
+            for c in kids[open_].tolist():
+                v = float(q @ self.router[c])
+                top = v + slack(v) + reach * self.radius[c]
+                top = np.inf if np.isnan(top) else top
+                if top >= least:
+                    heapq.heappush(queue, (-top, c, v))
+        return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, d, v (doubles, the floor of 256 * x) of the vectors that take part: an id, no null or non-finite part.
-
-    Scores are exact while they stay below 2**52, which the components are checked for (an error otherwise).
-    """
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    """vec_id, d, v (256 * x in doubles, rounded down) of the vectors that take part: an id, no null or non-finite part."""
+    v = F.transform("embedding", lambda x: x.cast("double") * 256)
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
-    own = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    return own.select("vec_id", F.size("v").alias("d"), F.when(total < _EXACT, F.col("v")).otherwise(F.raise_error(F.lit("components too large for exact scores"))).alias("v"))
+    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("d"), v.alias("v"))
+
+
+def _matrix(column: pa.Array, n: int, d: int) -> np.ndarray:
+    return np.floor(np.asarray(column.flatten(), dtype=float)).reshape(n, d)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -96,31 +145,51 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     Only vectors of one length are compared. Vectors that are null or hold null or non-finite parts, and rows
     without vec_id, take no part; a row is no candidate for a query with its id; copies of a row are candidates of
-    their own (a repeated query is answered once); fewer than k candidates give fewer rows.
+    their own (a repeated query is answered once); fewer than k candidates give fewer rows. Scores are exact; one
+    beyond a long is the nearest long, and ranks as that. Components beyond 2**1016 are out of range (an error).
+    Other columns are ignored; no vectors give no rows.
     """
     spark = vectors.sparkSession
     own = written(integer_vectors(vectors), "vectors")
-    n = own.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n // (every * BLOCK_ROWS)))
-    pick = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    queries = own.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("block", pick(blocks))
-    # every shard meets every block of queries: rows go once to each block's tasks, k rows a query come back
-    rows = own.select("vec_id", "d", "v", pick(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select("vec_id", "d", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            d = key[2].as_py()
-            x, q = (np.asarray(t["v"].combine_chunks().flatten()).reshape(t.num_rows, d) for t in (left, right))
-            own_ids = np.asarray(right["vec_id"])
-            for n, ids, scores in MTree(np.asarray(left["vec_id"]), x).search(q, own_ids, k):
-                out[0].append(np.full(len(ids), own_ids[n]))
-                out[1].append(ids)
-                out[2].append(scores.astype(np.int64))
-        return pa.table({c: np.concatenate([np.empty(0, np.int64), *o]) for c, o in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    keys = ["shard", "block", "d"]
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    sizes = {r["d"]: r["n"] for r in own.groupBy("d").agg(F.count("*").alias("n")).collect()}  # by length of vector
+    shards = max(1, -(-sum(sizes.values()) // SHARD_ROWS))
+    path = new_path(spark, "queries")
+    asked = own.where(F.col("vec_id") % every == 0).groupBy("d", "vec_id").agg(F.min("v").alias("v"))
+    asked.write.partitionBy("d").parquet(path)
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        d = key[1].as_py()
+        x = _matrix(rows["v"].combine_chunks(), rows.num_rows, d)
+        if not np.isfinite(x).all():
+            raise ValueError("a component is out of range")
+        return pa.table({"d": pa.array([d], pa.int32()), "tree": pa.array([pickle.dumps(MTree(np.asarray(rows["vec_id"]), x))], pa.binary())})
+
+    # numbers of places, not ids, so that copies of an id spread over the shards
+    placed = own.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    trees = written(placed.groupBy("shard", "d").applyInArrow(build, "d int, tree binary"), "trees")
+
+    def blocks(d: int) -> Iterator[pa.RecordBatch]:
+        fs, at = file_system(f"{path}/d={d}")
+        for info in fs.get_file_info(pa.fs.FileSelector(at, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with fs.open_input_file(info.path) as f:
+                    yield from pq.ParquetFile(f).iter_batches(BLOCK_ROWS, columns=["vec_id", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tree = pickle.loads(stored.as_buffer())
+                for block in blocks(d):
+                    out: tuple[list, list, list] = ([], [], [])
+                    ids = block.column(0).to_pylist()
+                    for i, q in zip(ids, _matrix(block.column(1), len(ids), d), strict=True):
+                        for s, j in tree.search(q, i, k):
+                            out[0].append(i)
+                            out[1].append(j)
+                            out[2].append(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["query_id", "vec_id", "score"])
+
+    # a task for a tree: they are few, and each is much work
+    found = trees.repartition(max(1, shards * len(sizes)), "d", F.xxhash64("tree")).mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

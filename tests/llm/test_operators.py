@@ -235,6 +235,35 @@ def test_top_k_against_brute_force(spark):
     assert sorted(got) == want
 
 
+def test_top_k_of_large_components_copies_and_nothing(spark):
+    rng = random.Random(14)
+    x = [(i, [float(rng.randint(-3, 3)) * 10.0 ** rng.choice([0, 3, 6, 7]) for _ in range(4)]) for i in range(200)]
+    x += [(50, [1e6, 1.0, 0.0, 0.0]), (7, x[7][1]), (7, x[7][1]), (300, [1e300, 0.0, 0.0, 0.0]), (301, [1.0, 2.0])]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>").withColumns({"rank": F.lit("clash"), "score": F.lit(1), "d": F.lit(2)})
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op10_topk.top_k(df, every=100).collect())
+    want = []
+    for q, v in [(0, x[0][1]), (100, x[100][1]), (300, [1e300, 0.0, 0.0, 0.0])]:
+        long = lambda s: max(-(2**63), min(s, 2**63 - 1))
+        of = sorted((-long(sum(int(256 * a) * int(256 * b) for a, b in zip(v, w, strict=True))), i) for i, w in x if i != q and len(w) == 4)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(of)]
+    assert got == sorted(want)
+    assert op10_topk.top_k(df.limit(0)).count() == 0
+
+
+def test_m_tree_spares_products():
+    rng = np.random.default_rng(15)
+    x = np.floor(256 * np.concatenate([c + 0.01 * rng.standard_normal((300, 6)) for c in 3 * rng.standard_normal((30, 6))]))
+    tree = op10_topk.MTree(np.arange(len(x)), x)
+    assert not tree.members[tree.top][0] and any(not tree.members[k][0] for k in tree.members[tree.top][1])
+    seen = []
+    scores = tree._scores
+    tree._scores = lambda q, norm, rows: seen.append(len(rows)) or scores(q, norm, rows)
+    for i in range(0, len(x), 900):
+        best = sorted((-int(x[i] @ r), j) for j, r in enumerate(x) if j != i)[:5]
+        assert tree.search(x[i], i, 5) == [(-s, j) for s, j in best]
+    assert sum(seen) < 0.1 * 10 * len(x)
+
+
 def test_warc_round_trip(spark):
     pages = [(5, "http://a", "same"), (3, "http://b", "same"), (9, "u\r\nv", None), (8, None, ""), (None, "http://c", "same"), (7, "x", "é" * 50_000), (5, "http://a", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
