@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearken.llm.common import components, small_batches, text_of, written
@@ -29,8 +29,6 @@ SEED = 42
 #: First bit and length of the segments of a 64-bit word.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _CHUNK = 16_384  # shingles whose bits are counted at a time
-#: Up to so many texts to compare are met by a broadcast of ids and hashes; beyond, texts are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def fingerprints_of(text: str, shingle: int = 4, words: int = 1) -> list[int]:
@@ -107,17 +105,23 @@ def _first_meeting(words: int) -> Column:
     return here
 
 
+def _in_company(keyed: DataFrame, of: Column, least: str) -> DataFrame:
+    """The rows of keys under which `of` has more than one value, with the least of them. By an aggregate, which is partly
+    done before the shuffle, and a join to one row a key, which can be split where a key is hot."""
+    groups = keyed.groupBy("key").agg(F.min(of).alias(least), F.max(of).alias("__most")).where(F.col(least) != F.col("__most")).drop("__most")
+    return keyed.join(groups, "key")
+
+
 def linked_components(prints: DataFrame, words: int, max_bits: int) -> DataFrame:
     """(n, component) of the distinct fingerprints of `prints` (n, f0, ...) that link with another one."""
     names = [f"f{w}" for w in range(words)]
     keyed = prints.withColumn("key", F.explode(_variants(words)))
-    bucket = Window.partitionBy("key")
-    led = keyed.withColumn("b", F.min(F.struct("n", *names)).over(bucket)).where("n <> b.n")
+    led = _in_company(keyed, F.struct("n", *names), "b").where("n <> b.n")
     near = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"b.{f}"))) for f in names), F.lit(0)) <= max_bits
     star = written(led.where(near).select(F.col("n").alias("v"), F.col("b.n").alias("u")).distinct(), "stars")
     group = written(prints.join(components(star).withColumnRenamed("node", "n"), "n", "left").withColumn("g", F.coalesce("component", "n")).drop("component"), "groups")
     keyed = group.withColumn("key", F.explode(_variants(words)))
-    mixed = keyed.withColumn("lo", F.min("g").over(bucket)).withColumn("hi", F.max("g").over(bucket)).where("lo <> hi").select("key", "n", "g", *names)
+    mixed = _in_company(keyed, F.col("g"), "lo").select("key", "n", "g", *names)
     a, b = mixed.alias("a"), mixed.alias("b")
     pairs = a.join(b, F.col("a.key") == F.col("b.key")).where("a.g < b.g").where(_distance(words) <= max_bits).where(_first_meeting(words))
     edges = pairs.select(F.col("a.g").alias("u"), F.col("b.g").alias("v")).distinct()
@@ -175,7 +179,7 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _shared(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, hash (of the text), s (a hash of the shingle set), n (its size) and prefix of every row of docs.
+    """doc_id, hash (of the text), s (128 bits of the shingle set's hash), n (its size) and prefix of every row of docs.
 
     Any two sets of this similarity share a shingle of their prefixes, the first n - ceil(similarity * n) + 1 in an
     order that is the same for all.
@@ -185,15 +189,14 @@ def _shared(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
-            own = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
+            own = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets]
             first = [_ranked(x, common.value)[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64))
-            s = pa.array(np.array(own, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s, pa.array([len(x) for x in sets], pa.int32()), prefix], ["doc_id", "hash", "s", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), prefix], ["doc_id", "hash", "s", "n", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("t")).mapInArrow(run, f"doc_id {kind}, hash long, s long, n int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("t")).mapInArrow(run, f"doc_id {kind}, hash long, s binary, n int, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -207,9 +210,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
             sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["s", "x"])
 
-    by = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
-    rows = docs.select("doc_id", text_of().alias("t"), F.xxhash64(text_of()).alias("h")).join(by, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash")))
-    sets = written(rows.select("s", "t").mapInArrow(run, "s long, x array<long>"), "sets").dropDuplicates(["s"])
+    rows = docs.select("doc_id", text_of().alias("t"), F.xxhash64(text_of()).alias("h")).join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash")))
+    sets = written(rows.select("s", "t").mapInArrow(run, "s binary, x array<long>"), "sets").dropDuplicates(["s"])
     both = F.size(F.array_intersect("a", "b"))
     compared = pairs.join(sets.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
     return written(compared.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "similar")
@@ -234,13 +236,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) for c in ("n", "m"))) - 1
     enough = F.col("k") + rest >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
     counted = lambda met: met.where(sized).groupBy("u", "v").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough).select("u", "v")
-    bucket = Window.partitionBy("key")
-    keyed = own.select("s", "n", F.explode("prefix").alias("key")).withColumn("lo", F.min("s").over(bucket)).withColumn("hi", F.max("s").over(bucket))
-    keyed = written(keyed.where("lo <> hi").select("key", "s", "n").distinct(), "buckets")
-    led = keyed.withColumn("b", F.min(F.struct("s", F.col("n").alias("m"))).over(bucket)).select("s", "n", "b.m", F.col("b.s").alias("u"))
-    star = _verified(counted(led.where("s <> u").withColumnRenamed("s", "v")), docs, reps, shingle, similarity)
+    keyed = written(_in_company(own.select("s", "n", F.explode("prefix").alias("key")).distinct(), F.struct("s", F.col("n").alias("m")), "b"), "buckets")
+    star = _verified(counted(keyed.select("n", "b.m", F.col("b.s").alias("u"), F.col("s").alias("v")).where("v <> u")), docs, reps, shingle, similarity)
     grouped = keyed.join(components(star).select(F.col("node").alias("s"), "component"), "s", "left").withColumn("g", F.coalesce("component", "s"))
-    mixed = grouped.withColumn("lo", F.min("g").over(bucket)).withColumn("hi", F.max("g").over(bucket)).where("lo <> hi").select("key", "s", "n", "g")
+    mixed = _in_company(grouped.select("key", "s", "n", "g"), F.col("g"), "lo").select("key", "s", "n", "g")
     other = mixed.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("g").alias("o"))
     pairs = mixed.join(other, "key").where("s < v and g <> o").withColumnRenamed("s", "u")
     edges = star.unionByName(_verified(counted(pairs), docs, reps, shingle, similarity))
