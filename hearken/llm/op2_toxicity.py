@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
-Lexicons and stems are mined from labelled rows; groups of them and hand-written patterns vote toxic, clean or
-nothing on each text. The label model knows votes only: its two classes have a mean vote per voter (its accuracy)
+Words and stems that tell toxic from clean labelled rows (by a test of their odds, not by their number) make lexicons;
+groups of them and hand-written patterns vote toxic, clean or nothing on each text. The label model knows votes only: its two classes have a mean vote per voter (its accuracy)
 and a covariance of votes (their correlations), fitted by expectation-maximisation, so that voters who repeat one
 another count less. A logistic regression over words and stems learns the posteriors and scores every text.
 """
@@ -9,6 +9,7 @@ another count less. A logistic regression over words and stems learns the poster
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 
 from hearken.llm.common import small_batches, text_of, written
 
-#: Bounds of what is fitted on: labelled rows (those of least hash), and features (those that tell most).
-MAX_LABELLED, MAX_FEATURES = 20_000, 512
-#: A feature must be in so many labelled documents; a lexicon entry, be so much commoner in toxic ones (log odds).
-MIN_DOCUMENTS, TOXIC_ODDS = 12, 3.0
+#: How many standard errors a feature's log odds must be from 0, and a lexicon entry's lower bound of them above 0. fit
+#: tries each pair on the part of the training rows whose remainder is 3, fitted on the others, and takes the best.
+TESTS = ((2.5, 0.7), (2.5, 1.5), (3.5, 0.7), (3.5, 1.5), (5.0, 1.5))
+#: Bound of what is fitted on: labelled rows, those of least hash. A parameter of fit.
+MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 _EDGE = ".,;:!?\"'()[]{}*#&%$-_…«»“”’|/\\"
 _GROUPS = 10
@@ -67,24 +69,30 @@ class ToxicityModel:
 
 
 def train_ids(labels: DataFrame) -> DataFrame:
-    """doc_id, y of the labelled rows that may be learnt from: crc32 of the id's digits is not 2 modulo 4."""
+    """doc_id, y, part of the labelled rows that may be learnt from: crc32 of the id's digits is not 2 modulo 4; part 1 is
+    remainder 3, on which bounds are chosen."""
     fit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
-    return labels.where("doc_id is not null and toxic is not null").where(fit).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    own = labels.where("doc_id is not null and toxic is not null").where(fit).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    return own.withColumn("part", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 3).cast("int"))
 
 
-def _votes(hits: np.ndarray, is_stem: np.ndarray, toxic: np.ndarray, text: str) -> list[int]:
-    """+1 toxic, -1 clean, 0 nothing: lexicon groups, stem groups, how many, how few, and patterns."""
-    t = hits[toxic[hits]]
-    words, stems = t[~is_stem[t]], t[is_stem[t]]
-    by = lambda x, n: [int(((x % n) == g).any()) for g in range(n)]
-    clean = len(hits) - len(t)
-    return [
-        *by(words, _GROUPS), *by(stems, _GROUPS // 2),
-        1 if len(words) >= 3 else -1 if not len(words) else 0,
-        1 if len(stems) >= 3 else -1 if not len(stems) else 0,
-        1 if len(t) * 50 >= clean + 1 else -1 if not len(t) and clean else 0,
-        int(bool(_SHOUT.search(text))), int(bool(_BANGS.search(text))), int(bool(_LONG.search(text))),
-    ]
+def _patterns(text: str) -> list[int]:
+    return [int(bool(_SHOUT.search(text))), int(bool(_BANGS.search(text))), int(bool(_LONG.search(text)))]
+
+
+def _votes(hits: list[np.ndarray], patterns: np.ndarray, group: np.ndarray, is_stem: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Per text +1 toxic, -1 clean, 0 nothing: groups of words and of stems, how many, how few, and patterns."""
+    out = np.zeros((len(hits), 2 * _GROUPS + 3), int)
+    for k, h in enumerate(hits):
+        t = h[toxic[h]]
+        stems = is_stem[t]
+        out[k, group[t[~stems]]] = 1
+        out[k, _GROUPS + group[t[stems]]] = 1
+        n, m = int((~stems).sum()), int(stems.sum())
+        out[k, -3] = 1 if n >= 3 else -1 if not n else 0
+        out[k, -2] = 1 if m >= 3 else -1 if not m else 0
+        out[k, -1] = 1 if len(t) * 50 >= len(h) + 1 else -1 if not len(t) else 0
+    return np.concatenate([out, patterns], 1)
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,52 +135,90 @@ def _logistic(rows: list[np.ndarray], target: np.ndarray, n: int, rounds: int =
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fits on at most MAX_LABELLED labelled documents, whole texts. Without labels of both kinds the model has no
-    features, and its score is the share of toxic labels (0 if none)."""
+def _odds(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of features in a of n1 toxic and b of n0 clean texts, and their standard errors; both smoothed by a half."""
+    return np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)), np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+
+
+def _flat(share: float) -> float:
+    """The bias of a model without evidence: the share of toxic labels, but never enough to call a text toxic."""
+    share = min(max(share, 1e-6), THRESHOLD * 0.9)
+    return float(np.log(share / (1 - share)))
+
+
+def _train(names: list[str], hits: list[np.ndarray], patterns: np.ndarray, y: np.ndarray, far: float, least: float) -> ToxicityModel:
+    """The model of these texts; the labels only make the lexicons and the balance of classes."""
+    n1 = int(y.sum())
+    idx, row = np.concatenate([*hits, np.empty(0, int)]).astype(int), np.repeat(y, [len(h) for h in hits])
+    a, b = np.bincount(idx[row == 1], minlength=len(names)), np.bincount(idx[row == 0], minlength=len(names))
+    odds, error = _odds(a, b, n1, len(y) - n1)
+    tells = (np.abs(odds) >= far * error) & (a + b > 1)
+    toxic = tells & (odds - error > least)
+    if not n1 or n1 == len(y) or not toxic.any():
+        return ToxicityModel([], np.zeros(0), _flat(n1 / max(1, len(y))), np.zeros((2, 0)), np.zeros((0, 0)))
+    new = np.cumsum(tells) - 1
+    own = [new[h[tells[h]]] for h in hits]
+    chosen = [n for n, t in zip(names, tells, strict=True) if t]
+    group = np.array([zlib.crc32(n.encode()) % _GROUPS for n in chosen])
+    votes = _votes(own, patterns, group, np.array([n.endswith("-") for n in chosen]), toxic[tells])
+    p, means, correlations = label_model(votes, n1 / len(y))
+    weights, bias = _logistic(own, p, len(chosen))
+    return ToxicityModel(chosen, weights, bias, means, correlations)
+
+
+def _scores(model: ToxicityModel, names: list[str], hits: list[np.ndarray]) -> np.ndarray:
+    at = {f: i for i, f in enumerate(model.features)}
+    w = np.array([model.weights[at[n]] if n in at else 0.0 for n in names])
+    return 1 / (1 + np.exp(-np.clip([model.bias + w[h].sum() for h in hits], -40, 40)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+    """Fits on at most max_labelled labelled documents, whole texts, and all their words and stems that are in more than
+    one. Bounds are chosen on training rows alone (see TESTS). Without labels of both kinds, or without evidence, the
+    model has no features, and its score is the share of toxic labels, below the threshold. Repeated rows count as such."""
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = train_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    texts = written(docs.select("doc_id", text_of().alias("t")).join(F.broadcast(chosen), "doc_id").select("t", "y"), "labelled")
-    total = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = total.get(1, 0), sum(total.values()) - total.get(1, 0)
-    if not n1 or not n0:
-        share = min(max(n1 / max(1, n1 + n0), 1e-6), 1 - 1e-6)
-        return ToxicityModel([], np.zeros(0), float(np.log(share / (1 - share))), np.zeros((2, 0)), np.zeros((0, 0)))
+    chosen = written(train_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled-ids")
+    texts = written(docs.select("doc_id", text_of().alias("t")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("t", "y", "part"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = Counter()
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((f, y == 1) for f in {f for w in set(t.lower().split()) for f in features_of(w)})
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([seen[k] * k[1] for k in keys], pa.int64()), pa.array([seen[k] * (not k[1]) for k in keys], pa.int64())], ["f", "a", "b"])
-
-    by = texts.mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(f"a + b >= {MIN_DOCUMENTS}")
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    best = by.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("a") + F.col("b"))), "f").limit(MAX_FEATURES).toPandas()
-    names = best["f"].tolist()
-    is_stem, toxic = best["f"].str.endswith("-").to_numpy(), (best["odds"].to_numpy() > TOXIC_ODDS)
-    ids = {f: i for i, f in enumerate(names)}
-
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Ids(ids)
-        for batch in batches:
-            hits = [np.array(known.of(t), int) for t in batch["t"]]
-            yield pd.DataFrame({"hits": hits, "votes": [_votes(h, is_stem, toxic, t) for h, t in zip(hits, batch["t"], strict=True)]})
+            for t in batch.column(0).to_pylist():
+                seen.update({f for w in set(t.lower().split()) for f in features_of(w)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["f", "n"])
+
+    common = texts.select("t").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f")
+    names = sorted(r["f"] for r in common.collect())  # as many as some max_labelled texts hold
+    shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
-    got = texts.mapInPandas(vote, "hits array<int>, votes array<int>").toPandas()
-    p, means, correlations = label_model(np.stack(got["votes"].to_list()), n1 / (n1 + n0))
-    weights, bias = _logistic([np.asarray(h, int) for h in got["hits"]], p, len(names))
-    return ToxicityModel(names, weights, bias, means, correlations)
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Ids(shared.value)
+        for batch in batches:
+            yield pd.DataFrame({"y": batch["y"], "part": batch["part"], "hits": [np.array(known.of(t), np.int32) for t in batch["t"]], "patterns": [_patterns(t) for t in batch["t"]]})
+
+    got = texts.mapInPandas(found, "y int, part int, hits array<int>, patterns array<int>").toPandas()
+    y, part = got["y"].to_numpy(int), got["part"].to_numpy(int)
+    hits = [np.asarray(h, int) for h in got["hits"]]
+    patterns = np.array(got["patterns"].tolist(), int).reshape(len(got), 3)
+    pick = lambda m: [h for h, x in zip(hits, m, strict=True) if x]
+    best, bounds = -1.0, TESTS[-1]
+    seen, held = part == 0, part == 1
+    for far, least in reversed(TESTS):  # of equals the strictest
+        trial = _train(names, pick(seen), patterns[seen], y[seen], far, least)
+        said = _scores(trial, names, pick(held)) >= THRESHOLD
+        right = 2 * int((said & (y[held] == 1)).sum()) / max(1, int(said.sum()) + int(y[held].sum()))
+        if right > best:
+            best, bounds = right, (far, least)
+    return _train(names, hits, patterns, y, *bounds)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs, in place: no shuffle.
 
     A null or empty text has no features, so its score is that of the bias; rows without doc_id are not held out;
-    repeated rows are kept; with keep, the columns of docs come first (a column of docs named like one of the
-    three is an error), else other columns are ignored.
+    repeated rows are kept; with keep, the columns of docs come first (but for those named like one of the three, which
+    are replaced), else other columns are ignored; no documents give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -188,7 +234,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: bool = False) -> DataFram
 
     out = docs.withColumn("__score", scored(text_of()))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col("doc_id")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")] if keep else [F.col("doc_id")]
     return out.select(*own, held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -339,6 +339,24 @@ def test_toxicity(spark):
     assert op2_toxicity.without_toxic(d, lab).columns == d.columns
 
 
+def test_toxicity_learns_from_no_held_out_row_and_flags_nothing_without_evidence(spark):
+    rng = random.Random(16)
+    rows = [(i, sentence(rng, 30) + (" grotblat vexmur" if i % 4 == 0 else "")) for i in range(400)]
+    d = spark.createDataFrame([*rows, (1000, "grotblat " * 40_000), (1001, None), (1001, None)], "doc_id long, text string").withColumns({"score": F.lit("clash"), "predicted": F.lit(7)})
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    told = lambda lie: spark.createDataFrame([(i, 1, int(i % 4 == 0) if not (lie and held(i)) else int(i % 4 != 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    a, b = op2_toxicity.fit(d, told(False)), op2_toxicity.fit(d, told(True))
+    assert a.features == b.features and a.bias == b.bias and (a.weights == b.weights).all() and {"grotblat", "vexmur"} <= set(a.features)
+    got = op2_toxicity.score(d, a, keep=True)
+    assert got.columns == ["doc_id", "text", "held_out", "score", "predicted"]
+    by = {r.doc_id: r.predicted for r in got.collect()}
+    assert by[1000] == 1 and by[1001] == 0 and got.where("doc_id = 1001").count() == 2
+    noise = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(1, 400, 4)] + [(i, 1, 1) for i in range(2, 400, 4)], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in op2_toxicity.score(d.limit(0).unionByName(d.where("doc_id % 4 <> 0")), op2_toxicity.fit(d, noise.where("doc_id % 4 <> 0"))).collect()} <= {0, 1}
+    assert {r.predicted for r in op2_toxicity.score(d, op2_toxicity.fit(d, told(False).withColumn("toxic", F.lit(1)))).collect()} == {0}
+    assert op2_toxicity.score(d.limit(0), a).count() == 0
+
+
 def test_label_model_sees_accuracies_and_correlations():
     rng = np.random.default_rng(9)
     y = rng.random(4000) < 0.3
