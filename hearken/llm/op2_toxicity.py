@@ -24,7 +24,7 @@ from hearken.llm.common import small_batches, text_of, written
 
 #: How many standard errors a feature's log odds must be from 0, and a lexicon entry's lower bound of them above 0. fit
 #: tries each pair on the part of the training rows whose remainder is 3, fitted on the others, and takes the best.
-TESTS = ((2.5, 0.7), (2.5, 1.5), (3.5, 0.7), (3.5, 1.5), (5.0, 1.5))
+TESTS = ((3.0, 2.0), (3.0, 3.0), (3.0, 4.0), (4.0, 2.0), (4.0, 3.0))
 #: Bound of what is fitted on: labelled rows, those of least hash. A parameter of fit.
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
@@ -181,15 +181,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     chosen = written(train_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled), "labelled-ids")
     texts = written(docs.select("doc_id", text_of().alias("t")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("t", "y", "part"), "labelled")
 
+    total = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = total.get(1, 0), total.get(0, 0)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Counter()
-            for t in batch.column(0).to_pylist():
-                seen.update({f for w in set(t.lower().split()) for f in features_of(w)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["f", "n"])
-
-    common = texts.select("t").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f")
-    names = sorted(r["f"] for r in common.collect())  # as many as some max_labelled texts hold
+            seen = (Counter(), Counter())
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[y].update({f for w in set(t.lower().split()) for f in features_of(w)})
+            keys = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[y][k] for k in keys], pa.int64()) for y in (1, 0))], ["f", "a", "b"])
+
+    by = texts.select("t", "y").mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b > 1")
+    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    telling = by.where(F.abs(odds) >= min(t[0] for t in TESTS) * error).select("f")  # the rest can pass no test
+    names = sorted(r["f"] for r in telling.collect())  # words of max_labelled texts
     shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
