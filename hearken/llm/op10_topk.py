@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from hearken.llm.common import file_system, new_path, written
 
 #: Rows of a leaf page, children of an inner page, rows of a shard, queries that a task holds at a time.
-PAGE, FANOUT, SHARD_ROWS, BLOCK_ROWS = 64, 16, 32_768, 1024
+PAGE, FANOUT, SHARD_ROWS, BLOCK_ROWS = 128, 16, 16_384, 1024
 _EXACT = 2.0**53  # products whose norms stay below it are sums of exact doubles
 _LONG = 2**63
 
@@ -51,9 +51,11 @@ class MTree:
         self.ids, self.x = ids, x
         self.router: list[np.ndarray] = []
         self.radius: list[float] = []
-        self.members: list[tuple[bool, np.ndarray, np.ndarray]] = []  # leaf?, rows or nodes, their distances to the router
-        self.top = self._node(np.arange(len(ids)), page, fanout)
+        #: Of a page: leaf?, rows or nodes, their distances to the router, their vectors or routers, and radii or norms.
+        self.members: list[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.norms = np.sqrt((x**2).sum(1)) if len(x) else np.zeros(0)
+        self.most = float(self.norms.max(initial=0.0))
+        self.top = self._node(np.arange(len(ids)), page, fanout)
 
     def _halves(self, rows: np.ndarray) -> list[np.ndarray]:
         own = self.x[rows]
@@ -68,64 +70,71 @@ class MTree:
         router = self.x[rows].mean(0) if len(rows) else np.zeros(self.x.shape[1])
         self.router.append(router)
         self.radius.append(0.0)
-        self.members.append((True, rows, np.zeros(0)))
+        self.members.append((True, rows, np.zeros(0), self.x[:0], np.zeros(0)))
         d = _far(self.x[rows], router)
         self.radius[me] = float(d.max()) if len(d) else 0.0
         if len(rows) <= page:
             order = np.argsort(-d, kind="stable")  # those within a bound are a prefix
-            self.members[me] = (True, rows[order], d[order])
+            rows = rows[order]
+            self.members[me] = (True, self.ids[rows], d[order], self.x[rows], self.norms[rows])
             return me
         parts = [rows]
         while len(parts) < fanout and max(map(len, parts)) > page:
             big = max(range(len(parts)), key=lambda k: len(parts[k]))
             parts += self._halves(parts.pop(big))
         kids = np.array([self._node(p, page, fanout) for p in parts])
-        self.members[me] = (False, kids, _far(np.stack([self.router[k] for k in kids]), router))
+        routers = np.stack([self.router[k] for k in kids])
+        self.members[me] = (False, kids, _far(routers, router), routers, np.array([self.radius[k] for k in kids]))
         return me
 
-    def _scores(self, q: np.ndarray, norm: float, rows: np.ndarray) -> list:
+    @staticmethod
+    def _scores(q: np.ndarray, norm: float, x: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Exact inner products: by doubles where they can't round, else by integers, brought into the range of a long."""
-        x = self.x[rows]
-        if norm * self.norms[rows].max(initial=0.0) < _EXACT:
-            return (x @ q).astype(np.int64).tolist()
+        if norm * norms.max(initial=0.0) < _EXACT:
+            return (x @ q).astype(np.int64)
         own = [int(a) for a in q]
-        return [min(max(sum(a * int(b) for a, b in zip(own, row, strict=True)), -_LONG), _LONG - 1) for row in x.tolist()]
+        return np.array([min(max(sum(a * int(b) for a, b in zip(own, row, strict=True)), -_LONG), _LONG - 1) for row in x.tolist()], np.int64)
 
     def search(self, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), highest first, ties to smaller ids, of rows that don't bear the id `own`."""
         norm = float(np.sqrt((q**2).sum()))
         reach = norm * (1 + 1e-9)
         at = float(q @ self.router[self.top])
-        slack = lambda v: 1e-6 * (1 + np.abs(v)) + 1e-9 * reach * self.norms.max(initial=0.0)
+        more = 1e-6 + 1e-9 * reach * self.most  # for what doubles may have lost
         queue = [(-np.inf, self.top, at)]
         best: list[tuple[int, int]] = []  # a heap: the worst first, as (score, -id)
         while queue:
             bound, node, at = heapq.heappop(queue)
-            least = _low(best[0][0]) if len(best) == k else -np.inf
+            full = len(best) == k
+            least = _low(best[0][0]) if full else -np.inf
             if -bound < least:
                 break
-            leaf, kids, d = self.members[node]
-            up = np.nan_to_num(at + slack(at) + reach * d, nan=np.inf)
+            leaf, kids, d, vectors, sizes = self.members[node]
+            # by the product with the page's router alone: a row's or a child's distance to it bounds what they can add
+            up = at + 1e-6 * abs(at) + more + reach * (d if leaf else d + sizes)
+            if np.isnan(up).any():
+                up = np.nan_to_num(up, nan=np.inf)
             if leaf:
-                rows = kids[up >= least]
-                if not len(rows):
-                    continue
-                for s, i in zip(self._scores(q, norm, rows), self.ids[rows].tolist(), strict=True):
+                n = len(d) if up[-1:] >= least else int(np.searchsorted(-up, -least, side="right"))
+                s = self._scores(q, norm, vectors[:n], sizes[:n])
+                good = np.flatnonzero(s >= best[0][0]) if full else range(n)
+                for j in good:
+                    i, score = int(kids[j]), int(s[j])
                     if i == own:
                         continue
                     if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
+                        heapq.heappush(best, (score, -i))
+                    elif (score, -i) > best[0]:
+                        heapq.heapreplace(best, (score, -i))
                 continue
-            radii = np.array([self.radius[c] for c in kids])
-            open_ = np.flatnonzero(np.nan_to_num(up + reach * radii, nan=np.inf) >= least)  # by the parent's product alone
-            for c in kids[open_].tolist():
-                v = float(q @ self.router[c])
-                top = v + slack(v) + reach * self.radius[c]
-                top = np.inf if np.isnan(top) else top
+            some = np.flatnonzero(up >= least)
+            v = vectors[some] @ q
+            tops = v + 1e-6 * np.abs(v) + more + reach * sizes[some]
+            if np.isnan(tops).any():
+                tops = np.nan_to_num(tops, nan=np.inf)
+            for top, c, x in zip(tops.tolist(), kids[some].tolist(), v.tolist(), strict=True):
                 if top >= least:
-                    heapq.heappush(queue, (-top, c, v))
+                    heapq.heappush(queue, (-top, c, x))
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 

@@ -257,7 +257,7 @@ def test_m_tree_spares_products():
     assert not tree.members[tree.top][0] and any(not tree.members[k][0] for k in tree.members[tree.top][1])
     seen = []
     scores = tree._scores
-    tree._scores = lambda q, norm, rows: seen.append(len(rows)) or scores(q, norm, rows)
+    tree._scores = lambda q, norm, x, norms: seen.append(len(x)) or scores(q, norm, x, norms)
     for i in range(0, len(x), 900):
         best = sorted((-int(x[i] @ r), j) for j, r in enumerate(x) if j != i)[:5]
         assert tree.search(x[i], i, 5) == [(-s, j) for s, j in best]
