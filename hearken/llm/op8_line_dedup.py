@@ -38,7 +38,8 @@ def _halves(min_words: int) -> Column:
     n = F.size("words")
     c = lambda m: F.floor((m - 1) / 2).cast("int")
     ends = lambda k: [F.xxhash64(F.lit("first"), k, F.slice("words", F.lit(1), k)), F.xxhash64(F.lit("last"), k, F.slice("words", n - k + 1, k))]
-    return F.when(n < min_words, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.array(*ends(c(n)), *ends(c(n + 1)))))
+    some = F.when(n % 2 == 1, F.array(*ends(c(n)))).otherwise(F.array(*ends(c(n)), *ends(c(n + 1))))  # for odd n both are one
+    return F.when(n < min_words, F.array().cast("array<bigint>")).otherwise(some)
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -74,7 +75,8 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     wiped = at(F.col("pos"), before, after, F.col("n") - 1, 1)
     gap = at(F.col("pos"), before, after.bitwiseXOR(F.col("g")), F.col("n"), 0)
     last = at(F.col("n"), F.col("fs"), F.lit(0).cast("long"), F.col("n"), 0)
-    variants = word.select("id", F.explode(F.when(F.col("pos") == F.col("n") - 1, F.array(wiped, gap, last)).otherwise(F.array(wiped, gap))).alias("x")).select("id", "x.*")
+    # read twice, by the groups and by the pairs
+    variants = written(word.select("id", F.explode(F.when(F.col("pos") == F.col("n") - 1, F.array(wiped, gap, last)).otherwise(F.array(wiped, gap))).alias("x")).select("id", "x.*"), "variants")
     earliest = lambda kind: F.min(F.when(F.col("wiped") == kind, F.col("id"))).alias(f"e{kind}")
     groups = variants.groupBy("key").agg(F.count("*").alias("k"), earliest(1), earliest(0)).where("k > 1 and e1 is not null")
     other = F.when(F.col("wiped") == 0, F.col("e1")).otherwise(F.least("e1", "e0"))
@@ -111,7 +113,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False, min_words: int = MIN_WORD
     text, parts = text_of("text"), F.split(F.col("text"), "\n", -1)
     joined = _with_lists(docs, lists)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n")
-    n_lines = F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\t-\r ]"))).cast("long")
+    n_lines = F.regexp_count(text, F.lit(r"[^\t-\r ][^\n]*")).cast("long")
     n_dropped = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and not (counts and c in ("n_lines", "n_dropped"))]
     return joined.select(*others, F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text"), *([n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] if counts else []))
