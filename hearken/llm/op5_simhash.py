@@ -211,7 +211,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["s", "x"])
 
     rows = docs.select("doc_id", text_of().alias("t"), F.xxhash64(text_of()).alias("h")).join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash")))
-    sets = written(rows.select("s", "t").mapInArrow(run, "s binary, x array<long>"), "sets").dropDuplicates(["s"])
+    sets = written(rows.select("s", "t").mapInArrow(run, "s long, x array<long>"), "sets").dropDuplicates(["s"])
     both = F.size(F.array_intersect("a", "b"))
     compared = pairs.join(sets.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
     return written(compared.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "similar")
@@ -230,22 +230,24 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     small_batches(docs.sparkSession)
     own = written(_shared(docs, shingle, similarity), "shingle-sets")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("rep")
-    reps = written(own.groupBy("s").agg(rep, F.first("n").alias("n")), "distinct-sets")
+    sets = own.groupBy("s").agg(rep, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = written(sets.withColumnRenamed("s", "name").withColumn("s", F.monotonically_increasing_id()), "distinct-sets")  # short numbers from here on
+    reps = sets.select("s", "rep")
     sized = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9
     # what two prefixes share is all that the sets share up to the end of one of them; the rest of that set is the most to come
     rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) for c in ("n", "m"))) - 1
     enough = F.col("k") + rest >= (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
     counted = lambda met: met.where(sized).groupBy("u", "v").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough).select("u", "v")
-    keyed = written(_in_company(own.select("s", "n", F.explode("prefix").alias("key")).distinct(), F.struct("s", F.col("n").alias("m")), "b"), "buckets")
+    keyed = written(_in_company(sets.select("s", "n", F.explode("prefix").alias("key")), F.struct("s", F.col("n").alias("m")), "b"), "buckets")
     star = _verified(counted(keyed.select("n", "b.m", F.col("b.s").alias("u"), F.col("s").alias("v")).where("v <> u")), docs, reps, shingle, similarity)
     grouped = keyed.join(components(star).select(F.col("node").alias("s"), "component"), "s", "left").withColumn("g", F.coalesce("component", "s"))
     mixed = _in_company(grouped.select("key", "s", "n", "g"), F.col("g"), "lo").select("key", "s", "n", "g")
     other = mixed.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("g").alias("o"))
     pairs = mixed.join(other, "key").where("s < v and g <> o").withColumnRenamed("s", "u")
     edges = star.unionByName(_verified(counted(pairs), docs, reps, shingle, similarity))
-    groups = written(reps.join(components(edges).withColumnRenamed("node", "s"), "s", "left").select("s", "rep", F.coalesce("component", "s").alias("group")), "groups")
+    groups = written(sets.select("s", "name", "rep").join(components(edges).withColumnRenamed("node", "s"), "s", "left").select("name", "rep", F.coalesce("component", "s").alias("group")), "groups")
     roots = groups.groupBy("group").agg(F.min("rep").alias("root"))
-    return own.select("doc_id", "hash", "s").join(groups.join(roots, "group").select("s", F.col("root.doc_id").alias("component_id"), F.col("root.hash").alias("component_hash")), "s").drop("s")
+    return own.select("doc_id", "hash", F.col("s").alias("name")).join(groups.join(roots, "group").select("name", F.col("root.doc_id").alias("component_id"), F.col("root.hash").alias("component_hash")), "name").drop("name")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
