@@ -3,6 +3,7 @@
 import json
 import os
 import re
+import time
 from dataclasses import replace
 
 import duckdb
@@ -290,6 +291,15 @@ def test_adversarial_variants(spark):
     assert len(rate) == 6 and rate["homoglyphs"] == rate["invisibles"] == rate["fullwidth"] == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_reports_are_planned_in_bounded_time(spark):
+    """The join's key must not be written out in terms of the messages, which took all of the driver's memory."""
+    m = E.messages_of(spark.read.parquet(f"{DATA}/conversations.parquet"))
+    began = time.time()
+    plan = S.network_reports(E.analyze(m, Y.BOTH, full_normalize=False), m)._jdf.queryExecution().optimizedPlan()
+    assert plan is not None and time.time() - began < 30
+
+
 def test_sessions(spark, tmp_path):
     good = {"id": "1", "user_id": "u", "session_id": "s", "content": "c", "timestamp": T0}
     bad = [{"id": "2"}, {**good, "id": 5}, {**good, "timestamp": 1}, {**good, "timestamp": str(T0)}, {**good, "source": "fax"}, "x", None]
