@@ -209,14 +209,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     hits = [np.asarray(h, int) for h in got["hits"]]
     patterns = np.array(got["patterns"].tolist(), int).reshape(len(got), 3)
     pick = lambda m: [h for h, x in zip(hits, m, strict=True) if x]
-    best, bounds = -1.0, TESTS[-1]
+    best, bounds, told = -1.0, TESTS[-1], False
     seen, held = part == 0, part == 1
     for far, least in reversed(TESTS):  # of equals the strictest
         trial = _train(names, pick(seen), patterns[seen], y[seen], far, least)
+        told = told or bool(trial.features)
         said = _scores(trial, names, pick(held)) >= THRESHOLD
         right = 2 * int((said & (y[held] == 1)).sum()) / max(1, int(said.sum()) + int(y[held].sum()))
         if right > best:
             best, bounds = right, (far, least)
+    if not told:  # too few rows to choose on a part of them: the strictest that all of them pass
+        models = (_train(names, hits, patterns, y, *b) for b in reversed(TESTS))
+        return next((m for m in models if m.features), _train(names, hits, patterns, y, *bounds))
     return _train(names, hits, patterns, y, *bounds)
 
 

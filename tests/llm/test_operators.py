@@ -357,6 +357,16 @@ def test_toxicity_learns_from_no_held_out_row_and_flags_nothing_without_evidence
     assert op2_toxicity.score(d.limit(0), a).count() == 0
 
 
+def test_toxicity_of_few_labels(spark):
+    """On two thirds of 60 rows no word passes any bound, on all of them one does."""
+    rng = random.Random(21)
+    rows = [(i, sentence(rng, 30) + (" grotblat" if i % 3 == 0 else "")) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = op2_toxicity.fit(d, spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(80)], "doc_id long, quality int, toxic int"))
+    assert "grotblat" in model.features
+    assert {r.doc_id for r in op2_toxicity.score(d, model).collect() if r.predicted} == set(range(0, 80, 3))
+
+
 def test_label_model_sees_accuracies_and_correlations():
     rng = np.random.default_rng(9)
     y = rng.random(4000) < 0.3
