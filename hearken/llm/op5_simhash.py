@@ -107,9 +107,10 @@ def _first_meeting(words: int) -> Column:
 
 def _in_company(keyed: DataFrame, of: Column, least: str) -> DataFrame:
     """The rows of keys under which `of` has more than one value, with the least of them. By an aggregate, which is partly
-    done before the shuffle, and a join to one row a key, which can be split where a key is hot."""
+    done before the shuffle, and a join to one row a key, which can be split where a key is hot. Merged by hint: the planner
+    takes the rows of keys for as few as the fingerprints that they are made from, and would send them all to the driver."""
     groups = keyed.groupBy("key").agg(F.min(of).alias(least), F.max(of).alias("__most")).where(F.col(least) != F.col("__most")).drop("__most")
-    return keyed.join(groups, "key")
+    return keyed.join(groups.hint("merge"), "key")
 
 
 def linked_components(prints: DataFrame, words: int, max_bits: int) -> DataFrame:
@@ -119,7 +120,7 @@ def linked_components(prints: DataFrame, words: int, max_bits: int) -> DataFrame
     led = _in_company(keyed, F.struct("n", *names), "b").where("n <> b.n")
     near = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"b.{f}"))) for f in names), F.lit(0)) <= max_bits
     star = written(led.where(near).select(F.col("n").alias("v"), F.col("b.n").alias("u")).distinct(), "stars")
-    group = written(prints.join(components(star).withColumnRenamed("node", "n"), "n", "left").withColumn("g", F.coalesce("component", "n")).drop("component"), "groups")
+    group = written(prints.join(components(star).withColumnRenamed("node", "n").hint("merge"), "n", "left").withColumn("g", F.coalesce("component", "n")).drop("component"), "groups")
     keyed = group.withColumn("key", F.explode(_variants(words)))
     mixed = _in_company(keyed, F.col("g"), "lo").select("key", "n", "g", *names)
     a, b = mixed.alias("a"), mixed.alias("b")
@@ -141,10 +142,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, words: int = 1, max_bits:
     key = F.col("f0") if words == 1 else F.xxhash64(*names)
     least = written(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("n", key), "distinct-fingerprints")
     of = linked_components(least.select("n", *names), words, max_bits)
-    groups = least.join(of, "n", "left").withColumn("group", F.coalesce("component", "n"))
+    groups = least.join(of.hint("merge"), "n", "left").withColumn("group", F.coalesce("component", "n"))
     roots = groups.groupBy("group").agg(F.min("least").alias("component_id"))
     found = groups.select(*names, "group").join(roots, "group").select(*names, "component_id")
-    return own.join(found, names)
+    return own.join(found.hint("merge"), names)  # a table's size on disk doesn't tell how many rows it has
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -203,7 +204,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
     """u, v of the pairs (u, v) of sets whose Jaccard similarity is at least this; texts are read for these sets only."""
     pairs = written(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("u", "v")).alias("s")).distinct()
-    of = written(reps.join(needed, "s").select("s", F.col("rep.doc_id").alias("__id"), F.col("rep.hash").alias("__hash")), "compared")
+    of = written(reps.join(needed.hint("merge"), "s").select("s", F.col("rep.doc_id").alias("__id"), F.col("rep.hash").alias("__hash")), "compared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +214,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
     rows = docs.select("doc_id", text_of().alias("t"), F.xxhash64(text_of()).alias("h")).join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash")))
     sets = written(rows.select("s", "t").mapInArrow(run, "s long, x array<long>"), "sets").dropDuplicates(["s"])
     both = F.size(F.array_intersect("a", "b"))
-    compared = pairs.join(sets.select(F.col("s").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("s").alias("v"), F.col("x").alias("b")), "v")
+    side = lambda s, x: sets.select(F.col("s").alias(s), F.col("x").alias(x)).hint("merge")
+    compared = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
     return written(compared.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "similar")
 
 

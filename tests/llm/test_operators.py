@@ -143,6 +143,13 @@ def test_simhash_against_brute_force(docs, rows):
     assert len(ids) == len(set(ids)) and 8 in ids and 48 not in ids
 
 
+def test_keys_of_fingerprints_are_never_broadcast(spark, tmp_path):
+    spark.range(2000).select(F.xxhash64("id").alias("n"), F.xxhash64("id").alias("f0")).write.parquet(f"{tmp_path}/p")
+    keyed = spark.read.parquet(f"{tmp_path}/p").withColumn("key", F.explode(op5_simhash._variants(1)))
+    plan = op5_simhash._in_company(keyed, F.struct("n", "f0"), "b")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_similar_documents_against_brute_force(spark):
     rng = random.Random(12)
     fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(400)}" for _ in range(n)]
