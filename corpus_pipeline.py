@@ -24,8 +24,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
-    return op5_simhash.one_of_each(docs)
+    """One document of each group linked by SimHash as in op5 (64 bits, at most 4 differ), or by a Jaccard similarity of
+    0.8 or more of their sets of 5-word shingles, which so few bits miss for most pairs below 0.95."""
+    return op5_simhash.one_of_each(docs, max_bits=4)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, and lets go of the shuffle files of finished jobs, which else
+    stay on disk until the driver happens to collect its garbage."""
+    for path in {re.sub("/[^/]*$", "", f) for table in done for f in table.inputFiles()}:
+        _remove(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) of every node of undirected `edges`: component is the smallest node reachable.
 

@@ -8,8 +8,8 @@ Only which texts hang together is asked for. First each member of a bucket is co
 fingerprint, so a large group of near copies becomes one component in linear work; then only pairs from different
 components are compared, each at the first key they share.
 
-For a similarity of shingle sets itself (one_of_each) candidates come from prefixes of the sets, not from fingerprints,
-and their shingles are compared.
+A similarity of shingle sets can't be told from fingerprints so near: for it (similar_documents) candidates come from
+prefixes of the sets, and their shingles are compared. Both kinds of links can be asked for at once (max_bits).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import components, small_batches, text_of, written
+from hearken.llm.common import components, release, small_batches, text_of, written
 
 SEED = 42
 #: First bit and length of the segments of a 64-bit word.
@@ -179,8 +179,9 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.array(sorted(r.h for r in counts.orderBy(F.desc("k"), "h").limit(50_000).collect()), np.int64).view(np.uint64)
 
 
-def _shared(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, hash (of the text), s (128 bits of the shingle set's hash), n (its size) and prefix of every row of docs.
+def _shared(docs: DataFrame, shingle: int, similarity: float, prints: bool) -> DataFrame:
+    """doc_id, hash (of the text), s (128 bits of the shingle set's hash), n (its size), prefix and f0 (with prints, the
+    fingerprint, else null) of every row of docs.
 
     Any two sets of this similarity share a shingle of their prefixes, the first n - ceil(similarity * n) + 1 in an
     order that is the same for all.
@@ -189,15 +190,17 @@ def _shared(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            sets = [shingle_set(t, shingle) for t in texts]
+            f0 = [fingerprints_of(t)[0] if prints else None for t in texts]
             own = [xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets]
             first = [_ranked(x, common.value)[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), prefix], ["doc_id", "hash", "s", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), prefix, pa.array(f0, pa.int64())], ["doc_id", "hash", "s", "n", "prefix", "f0"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("t")).mapInArrow(run, f"doc_id {kind}, hash long, s binary, n int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("t")).mapInArrow(run, f"doc_id {kind}, hash long, s binary, n int, prefix array<long>, f0 long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -212,14 +215,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["s", "x"])
 
     rows = docs.select("doc_id", text_of().alias("t"), F.xxhash64(text_of()).alias("h")).join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash")))
-    sets = written(rows.select("s", "t").mapInArrow(run, "s long, x array<long>"), "sets").dropDuplicates(["s"])
+    read = written(rows.select("s", "t").mapInArrow(run, "s long, x array<long>"), "sets")
+    sets = read.dropDuplicates(["s"])
     both = F.size(F.array_intersect("a", "b"))
     side = lambda s, x: sets.select(F.col("s").alias(s), F.col("x").alias(x)).hint("merge")
     compared = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
-    return written(compared.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "similar")
+    found = written(compared.where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "similar")
+    release(docs.sparkSession, pairs, of, read)
+    return found
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _alike(own: DataFrame, sets: DataFrame, max_bits: int) -> DataFrame:
+    """u, v: edges between the numbers of sets of texts whose fingerprints hang together within max_bits."""
+    prints = written(own.select(F.col("s").alias("name"), "f0").distinct().join(sets.select("name", "s").hint("merge"), "name").select("s", "f0"), "set-fingerprints")
+    of = linked_components(prints.select(F.col("f0").alias("n"), "f0").distinct(), 1, max_bits).withColumnRenamed("n", "f0")
+    classes = prints.join(of.hint("merge"), "f0", "left").select("s", F.coalesce("component", "f0").alias("c"))
+    first = classes.groupBy("c").agg(F.min("s").alias("u"), F.max("s").alias("__most")).where("u <> __most").select("c", "u")
+    edges = written(classes.join(first.hint("merge"), "c").where("s <> u").select("u", F.col("s").alias("v")).distinct(), "alike")
+    release(own.sparkSession, prints)
+    return edges
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int | None = None) -> DataFrame:
     """doc_id, hash (XXH64 of the text by Spark), component_id and component_hash of every row of docs.
 
     The last two are of the row reachable that has the smallest doc_id, then hash.
@@ -227,14 +244,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     Two texts are linked if the Jaccard similarity of their shingle sets is at least `similarity`: every such pair is
     found by its prefixes, and none is linked without its shingles having been compared. As in linked_components,
     members of a bucket first meet its least one; then those of different components meet. Texts without words are
-    alike. A component without any doc_id has a null component_id.
+    alike. A component without any doc_id has a null component_id. With max_bits, texts whose fingerprints, those of
+    near_duplicates, differ by at most so many bits are linked as well, whatever their similarity; with up to 4 bits
+    every such link is found.
     """
     small_batches(docs.sparkSession)
-    own = written(_shared(docs, shingle, similarity), "shingle-sets")
+    own = written(_shared(docs, shingle, similarity, max_bits is not None), "shingle-sets")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("rep")
     sets = own.groupBy("s").agg(rep, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     sets = written(sets.withColumnRenamed("s", "name").withColumn("s", F.monotonically_increasing_id()), "distinct-sets")  # short numbers from here on
     reps = sets.select("s", "rep")
+    alike = [] if max_bits is None else [_alike(own, sets, max_bits)]
     sized = F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9
     # what two prefixes share is all that the sets share up to the end of one of them; the rest of that set is the most to come
     rest = F.greatest(*(F.ceil(F.col(c) * similarity - 1e-9) for c in ("n", "m"))) - 1
@@ -242,6 +262,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     counted = lambda met: met.where(sized).groupBy("u", "v").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough).select("u", "v")
     keyed = written(_in_company(sets.select("s", "n", F.explode("prefix").alias("key")), F.struct("s", F.col("n").alias("m")), "b"), "buckets")
     star = _verified(counted(keyed.select("n", "b.m", F.col("b.s").alias("u"), F.col("s").alias("v")).where("v <> u")), docs, reps, shingle, similarity)
+    for more in alike:
+        star = star.unionByName(more)
     grouped = keyed.join(components(star).select(F.col("node").alias("s"), "component"), "s", "left").withColumn("g", F.coalesce("component", "s"))
     mixed = _in_company(grouped.select("key", "s", "n", "g"), F.col("g"), "lo").select("key", "s", "n", "g")
     other = mixed.select("key", F.col("s").alias("v"), F.col("n").alias("m"), F.col("g").alias("o"))
@@ -252,13 +274,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     return own.select("doc_id", "hash", F.col("s").alias("name")).join(groups.join(roots, "group").select("name", F.col("root.doc_id").alias("component_id"), F.col("root.hash").alias("component_hash")), "name").drop("name")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with one row of each group of near duplicates: that of the smallest doc_id.
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int | None = None) -> DataFrame:
+    """docs, all columns, with one row of each group of near duplicates (of similar_documents): that of the smallest doc_id.
 
     Rows without doc_id stay. A document is an id with a text: its copies are one, and different texts under one id
     go only for their own components (of those in one component that of the smallest hash stays).
     """
-    found = similar_documents(docs.select("doc_id", "text"), shingle, similarity).where("doc_id is not null")
+    found = similar_documents(docs.select("doc_id", "text"), shingle, similarity, max_bits).where("doc_id is not null")
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("hash") == F.col("component_hash"))
     ids = found.groupBy("doc_id", "hash").agg(F.count("*").alias("k"), F.bool_or(stays).alias("stays"))
     ids = written(ids.where("k > 1 or not stays").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), F.col("stays").alias("__stays")), "dropped")

@@ -180,6 +180,35 @@ def test_similar_documents_against_brute_force(spark):
     assert op5_simhash.one_of_each(d.limit(0)).count() == 0
 
 
+def test_pipelines_near_dedup_links_by_simhash_and_by_similarity(spark):
+    """Some pairs are within 4 bits but below 0.8, some the other way round, some both; each must hang together."""
+    import corpus_pipeline
+
+    rng = random.Random(36)
+    texts = ["", "one two three four five", None]
+    for _ in range(150):
+        a = [f"{rng.choice(WORDS)}{rng.randrange(400)}" for _ in range(rng.choice((30, 60, 200)))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), rng.choice((1, 1, len(a) // 50 + 1))):
+            b[at] = "other"
+        texts += [" ".join(a), " ".join(b)]
+    words = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = [op5_simhash.fingerprints_of(t or "")[0] & (1 << 64) - 1 for t in texts]
+    root, kinds = list(range(len(texts))), set()
+    for b in range(len(texts)):
+        for a in range(b):
+            similar = len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) or 1) >= 0.8 or sets[a] == sets[b]
+            near = (prints[a] ^ prints[b]).bit_count() <= 4
+            if similar or near:
+                kinds.add((similar, near))
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    assert kinds == {(True, True), (True, False), (False, True)}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, d, "").collect()} == set(root)
+
+
 def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     rng = random.Random(13)
     a, b, c = (sentence(rng, 30) for _ in range(3))
