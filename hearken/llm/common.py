@@ -67,6 +67,7 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     stay on disk until the driver happens to collect its garbage."""
     for path in {re.sub("/[^/]*$", "", f) for table in done for f in table.inputFiles()}:
         _remove(spark, path)
+    spark.range(1).collect()  # listeners keep the plan of the execution that ended last, and so its shuffle files
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearken.llm.common import text_of, written
+from hearken.llm.common import release, text_of, written
 
 #: Shorter lines are only compared exactly: one word would be over a fifth of them.
 MIN_WORDS = 5
@@ -62,6 +62,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     found = found.select("h1", "h2", _words().alias("words"), _place().alias("place")).dropDuplicates(["h1", "h2"])
     # ids that grow in the order of places: partitions of a sort are in order, and so are the ids in each
     lines = written(found.orderBy("place").select("h1", "h2", "words", F.monotonically_increasing_id().alias("id")), "near-lines")
+    release(docs.sparkSession)  # of the texts' shuffle
 
     n = F.size("words")
     word = lines.select("id", n.alias("n"), F.posexplode("words").alias("pos", "word"))
@@ -86,7 +87,9 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     theirs = lines.select(F.col("id").alias("e"), F.col("words").alias("o_words"))
     tail = lambda c, wiped: F.slice(c, F.col("pos") + 1 + F.col(wiped), F.greatest(F.size(c), F.lit(1)))
     equal = (F.slice("words", F.lit(1), F.col("pos")) == F.slice("o_words", F.lit(1), F.col("pos"))) & (tail("words", "wiped") == tail("o_words", "o_wiped"))
-    return pairs.join(lines, "id").join(theirs, "e").where(equal).select("h1", "h2").distinct()
+    near = written(pairs.join(lines, "id").join(theirs, "e").where(equal).select("h1", "h2").distinct(), "near")
+    release(docs.sparkSession, variants, lines)
+    return near
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False, min_words: int = MIN_WORDS) -> DataFrame:
@@ -105,7 +108,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False, min_words: int = MIN_WORD
     worded = _raw_lines(docs).select("doc_id", "doc_hash", "line_no", _words().alias("words")).where(F.size("words") > 0)
     lines = written(worded.select("doc_id", "doc_hash", "line_no", *h, _halves(min_words).alias("halves")), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("k"), F.min("halves").alias("halves"))
-    near = written(_near_lines(docs, firsts), "near").withColumn("near", F.lit(True))
+    near = _near_lines(docs, firsts).withColumn("near", F.lit(True))
     flagged = firsts.select("h1", "h2", "first", "k").join(near, ["h1", "h2"], "left").where("k > 1 or near")
     drop = F.coalesce(F.col("near"), F.lit(False)) | ~_place().eqNullSafe(F.col("first"))
     gone = lines.select("doc_id", "doc_hash", "line_no", "h1", "h2").join(flagged, ["h1", "h2"]).where(drop)

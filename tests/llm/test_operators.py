@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import re
 import time
@@ -236,6 +237,25 @@ def test_lines_against_brute_force(docs, rows):
     assert op8_line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_lets_go_of_its_tables_and_shuffles(spark, monkeypatch):
+    """When the last tables are read, those of near lines are gone, and no shuffle of finished jobs is kept."""
+    seen, release = [], op8_line_dedup.release
+    count = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    def watched(spark, *done):
+        before, files = count(), [f.removeprefix("file:").replace("//", "/") for t in done for f in t.inputFiles()]
+        release(spark, *done)
+        time.sleep(2)  # the cleaner has a thread of its own
+        seen.append((before, count(), len(files), sum(map(os.path.exists, files))))
+
+    monkeypatch.setattr(op8_line_dedup, "release", watched)
+    rng = random.Random(41)
+    texts = ["\n".join(sentence(rng, 9) for _ in range(20)) for _ in range(40)]
+    d = spark.createDataFrame([*enumerate(texts), (99, texts[0].replace(texts[0].split()[3], "other", 1))], "doc_id long, text string")
+    assert op8_line_dedup.dedup_lines(d, counts=True).where("n_dropped > 0").count() >= 1
+    assert len(seen) == 2 and seen[0][1] < seen[0][0] / 4 and seen[1][1] <= seen[1][0] and seen[1][2] > 0 == seen[1][3], seen
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((30, 16))
