@@ -9,6 +9,10 @@ any two near lines do share one, so this loses nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +22,32 @@ from hearken.llm.common import release, text_of, written
 MIN_WORDS = 5
 
 
+def _spaced(text: Column) -> Column:
+    """text with a space for each other white space but the end of a line; most texts have none and are left as they are."""
+    others = ("\t", "\x0b", "\x0c", "\r")
+    out = text
+    for c in others:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(reduce(or_, (text.contains(c) for c in others)), out).otherwise(text)
+
+
 def _raw_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_hash, line_no, line of every line."""
+    """doc_id, doc_hash, line_no, line (white space as spaces) of every line."""
     text = text_of("text")
-    return docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    # hashed before its lines are parted: their rows carry neither the text nor the work of hashing it
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("doc_hash"), _spaced(text).alias("text"))
+    return hashed.select("doc_id", "doc_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _words() -> Column:
-    return F.array_remove(F.split(F.translate("line", "\t\x0b\x0c\r", "    "), " "), "")
+def _joined_words() -> Column:
+    """The words of line with one space between."""
+    line = F.trim("line")
+    return F.when(line.contains("  "), F.regexp_replace(line, " +", " ")).otherwise(line)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is worked out once however often f names it, within f's lambdas too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
@@ -34,10 +56,11 @@ def _place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
 
 
 def _halves(min_words: int) -> Column:
-    """Hashes of the first and last c words, c about half of the words, for both c that a near line may use."""
-    n = F.size("words")
+    """Hashes of the first and last c of n words, c about half of them, for both c that a near line may use."""
+    n = F.col("n")
     c = lambda m: F.floor((m - 1) / 2).cast("int")
-    ends = lambda k: [F.xxhash64(F.lit("first"), k, F.slice("words", F.lit(1), k)), F.xxhash64(F.lit("last"), k, F.slice("words", n - k + 1, k))]
+    part = lambda k: F.call_function("substring_index", "words", F.lit(" "), k)
+    ends = lambda k: [F.xxhash64(F.lit("first"), k, part(k)), F.xxhash64(F.lit("last"), k, part(-k))]
     some = F.when(n % 2 == 1, F.array(*ends(c(n)))).otherwise(F.array(*ends(c(n)), *ends(c(n + 1))))  # for odd n both are one
     return F.when(n < min_words, F.array().cast("array<bigint>")).otherwise(some)
 
@@ -56,10 +79,10 @@ def _near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     places = firsts.join(wanted, ["h1", "h2"]).select("h1", "h2", "first.*")
     # the places of a document meet its text once; only the lines at them are parted from it
     by = places.groupBy("doc_id", "doc_hash").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("at")).withColumnsRenamed({"doc_id": "__id", "doc_hash": "__hash"})
-    met = _with_lists(docs.select("doc_id", "text"), by).where("at is not null").withColumn("parts", F.split(text_of("text"), "\n", -1))
-    line = met.select("doc_id", F.col("__key").alias("doc_hash"), "parts", F.explode("at").alias("a"))
-    found = line.select("doc_id", "doc_hash", "a.line_no", "a.h1", "a.h2", F.get("parts", F.col("a.line_no")).alias("line"))
-    found = found.select("h1", "h2", _words().alias("words"), _place().alias("place")).dropDuplicates(["h1", "h2"])
+    met = _with_lists(docs.select("doc_id", "text"), by).where("at is not null")
+    text = _let(F.split(_spaced(text_of("text")), "\n", -1), lambda p: F.transform("at", lambda a: F.struct(a["line_no"], a["h1"], a["h2"], F.get(p, a["line_no"]).alias("line"))))
+    found = met.select("doc_id", F.col("__key").alias("doc_hash"), F.explode(text).alias("a")).select("doc_id", "doc_hash", "a.*")
+    found = found.select("h1", "h2", F.split(_joined_words(), " ").alias("words"), _place().alias("place")).dropDuplicates(["h1", "h2"])
     # ids that grow in the order of places: partitions of a sort are in order, and so are the ids in each
     lines = written(found.orderBy("place").select("h1", "h2", "words", F.monotonically_increasing_id().alias("id")), "near-lines")
     release(docs.sparkSession)  # of the texts' shuffle
@@ -104,8 +127,9 @@ def dedup_lines(docs: DataFrame, counts: bool = False, min_words: int = MIN_WORD
     """
     if clash := {"__id", "__hash", "__gone", "__key"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are used within")
-    h = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.size("words"), F.col("words")).alias("h2")]
-    worded = _raw_lines(docs).select("doc_id", "doc_hash", "line_no", _words().alias("words")).where(F.size("words") > 0)
+    h = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "n", "words").alias("h2")]
+    worded = _raw_lines(docs).where(F.trim("line") != "").select("doc_id", "doc_hash", "line_no", _joined_words().alias("words"))
+    worded = worded.withColumn("n", F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
     lines = written(worded.select("doc_id", "doc_hash", "line_no", *h, _halves(min_words).alias("halves")), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("k"), F.min("halves").alias("halves"))
     near = _near_lines(docs, firsts).withColumn("near", F.lit(True))
@@ -113,10 +137,10 @@ def dedup_lines(docs: DataFrame, counts: bool = False, min_words: int = MIN_WORD
     drop = F.coalesce(F.col("near"), F.lit(False)) | ~_place().eqNullSafe(F.col("first"))
     gone = lines.select("doc_id", "doc_hash", "line_no", "h1", "h2").join(flagged, ["h1", "h2"]).where(drop)
     lists = gone.groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "doc_hash": "__hash"})
-    text, parts = text_of("text"), F.split(F.col("text"), "\n", -1)
-    joined = _with_lists(docs, lists)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i)), "\n")
-    n_lines = F.regexp_count(text, F.lit(r"[^\t-\r ][^\n]*")).cast("long")
+    text, joined = text_of("text"), _with_lists(docs, lists)
+    left = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.get(parts, i))
+    kept = _let(F.split("text", "\n", -1), lambda parts: F.array_join(left(parts), "\n"))
+    n_lines = F.size(F.filter(F.split(_spaced(text), "\n", -1), lambda line: F.trim(line) != "")).cast("long")
     n_dropped = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text" and not (counts and c in ("n_lines", "n_dropped"))]
     return joined.select(*others, F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text"), *([n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] if counts else []))

@@ -237,6 +237,18 @@ def test_lines_against_brute_force(docs, rows):
     assert op8_line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_a_long_document_do_not_each_cost_its_whole_text(spark):
+    """Neither are a text's lines parted anew for each line kept, nor is the text hashed or carried along for each."""
+    rng = random.Random(43)
+    lines = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(9)) for _ in range(12_000)]
+    d = spark.createDataFrame([(1, "\n".join([*lines, "\t" + lines[0].replace(" ", " \x0b ")]))], "doc_id long, text string")
+    plan = op8_line_dedup._raw_lines(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
+    began = time.time()
+    (r,) = op8_line_dedup.dedup_lines(d, counts=True).collect()
+    assert (r.n_lines, r.n_dropped, r.text) == (12_001, 1, "\n".join(lines)) and time.time() - began < 40
+
+
 def test_line_dedup_lets_go_of_its_tables_and_shuffles(spark, monkeypatch):
     """When the last tables are read, those of near lines are gone, and no shuffle of finished jobs is kept."""
     seen, release = [], op8_line_dedup.release
