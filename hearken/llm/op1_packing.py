@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.llm.common import small_batches, text_of, written
-from hearken.llm.op4_word_bpe import word_bpe
+from hearken.llm.op4_word_bpe import LibraryBpe, word_bpe
 
 LIMIT, END_ID = 4096, 1
 #: Pieces of one length that a ranking task may hold; the number of buckets follows the input.
@@ -89,7 +89,7 @@ def tokenized_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFram
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, made = word_bpe(path), 0
+        bpe, made = word_bpe(path, LibraryBpe), 0
         for batch in batches:
             rows, crcs = [], []
             for k, t in enumerate(batch.column(1).to_pylist()):

@@ -8,9 +8,11 @@ linear in the word times the tokens that end at a place, however long the word i
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
+import string
 import sys
 import unicodedata
 from array import array
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from hearken.llm.common import small_batches, text_of
 
@@ -34,7 +37,7 @@ _ODD = re.compile(r"[\x1c-\x1f]")  # str.split() takes these for white space, th
 #: Lower-casing is by character (a sigma that ends a word is no exception) and knows newer letters than Python does.
 _LOWER = {ord("Σ"): "σ", 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 _LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-_RARE = re.compile("[" + "".join(map(chr, _LOWER)) + "]")
+_RARE = [*map(chr, _LOWER)]
 
 
 def _byte_symbols() -> list[str]:
@@ -88,12 +91,19 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
-        end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
         self.tokens: list[str] = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for s, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = s
+        self.symbols = "".join(_byte_symbols())
+        self._prepare(path, model)
+        self.cache = _Words(self._word, cached_words)
+
+    def _prepare(self, path: str, model: dict) -> None:
+        """What _piece() needs."""
+        vocab: dict[str, int] = model["vocab"]
+        end = model["end_of_word_suffix"]
         coded = lambda s: s[: -len(end) - 1] + chr(ord(s[-len(end) - 1]) + _END) if s.endswith(end) and len(s) > len(end) else s
         self.before = [0] * len(self.tokens)  # by which a token's length takes one back
         self.automaton = ahocorasick.Automaton()
@@ -108,10 +118,8 @@ class WordBpe:
             i = vocab[(left[: -len(end)] if left.endswith(end) else left) + right]
             a, b = vocab[left], vocab[right]
             self.rank[i], self.parts[i], self.pairs[a, b] = n, (a, b), (n, i)
-        self.symbols = [c for c in _byte_symbols()]
         self.fits: list[dict[int, bool]] = [{} for _ in self.tokens]  # by the first token, whether the second may follow
         self.known = 0
-        self.cache = _Words(self._word, cached_words)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether [a, b] is what encoding their joined text gives: undoing merges, newest first, no pair across
@@ -133,8 +141,11 @@ class WordBpe:
                 limit, from_left = rb, False
                 b = parts[b][0]
 
+    def _symbols(self, piece: str) -> str:
+        return codecs.charmap_decode(piece.encode("utf-8"), "strict", self.symbols)[0]
+
     def _piece(self, piece: str) -> list[int]:
-        s = piece if piece.isascii() and piece.isprintable() else "".join(map(self.symbols.__getitem__, piece.encode("utf-8")))
+        s = self._symbols(piece)
         last, before, fits, done = [], self.before, self.fits, -1
         for place, t in self.automaton.iter(s[:-1] + chr(ord(s[-1]) + _END)):
             if place == done:
@@ -159,8 +170,9 @@ class WordBpe:
         return ids
 
     def _word(self, word: str) -> bytes:
-        if word.isalpha() and max(word) < "\u0558":
-            return _packed(self._piece(word))
+        core = word.rstrip(string.punctuation)  # letters and what follows them are one piece each
+        if core.isalpha() and (core.isascii() or max(core) < "\u0558"):
+            return _packed(self._piece(word)) if len(core) == len(word) else self.cache[core] + self.cache[word[len(core) :]]
         pieces = _PIECE.findall(word)
         if len(pieces) == 1:
             return _packed(self._piece(word))
@@ -169,7 +181,7 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         """The normalized words of a text without special strings."""
         text = unicodedata.normalize("NFC", text)
-        if not text.isascii() and _RARE.search(text):
+        if not text.isascii() and any(map(text.__contains__, _RARE)):
             text = text.translate(_LOWER)
         text = text.lower()
         return text.split() if not _ODD.search(text) else [w for w in _SPACE.split(text) if w]
@@ -190,14 +202,24 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_loaded: dict[str, WordBpe] = {}
+class LibraryBpe(WordBpe):
+    """WordBpe that leaves the merges inside a piece to the tokenizers library: the same ids, in some 60 % of the time for a new piece."""
+
+    def _prepare(self, path: str, model: dict) -> None:
+        self.model = Tokenizer.from_file(path).model
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(self._symbols(piece))]
+
+
+_loaded: dict[tuple[type[WordBpe], str], WordBpe] = {}
 
 
-def word_bpe(path: str) -> WordBpe:
+def word_bpe(path: str, kind: type[WordBpe] = WordBpe) -> WordBpe:
     """The encoder of a file; a Python worker keeps it, and its words, from task to task."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,11 @@ import re
 import time
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -63,6 +65,36 @@ def test_encoding_of_random_strings():
         assert np.frombuffer(bpe.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+def test_packing_encodes_new_words_cheaply(spark, docs):
+    """Words that a worker hasn't met before were a large part of packing's CPU seconds."""
+    same = SimpleNamespace(mapInArrow=lambda run, _: run)
+    run = op1_packing.tokenized_pieces(SimpleNamespace(sparkSession=spark, schema=docs.schema, select=lambda *_: same), WORD)
+    made = lambda texts: pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "t"])
+    rng, dp, lib, cpu = random.Random(5), op4_word_bpe.WordBpe(WORD), Tokenizer.from_file(WORD), time.process_time
+    syllables, ends = "th an ing ñad éou sch ö ère tion o qu ä heit ble ver ll um con ped ra zu ich ê ción mo gl ump esk".split(), ["", "", "", ".", "***", ",'s", "'s", "!!", "?'", "-9"]
+    list(run([made(["a"])]))
+    spent = [0.0, 0.0]
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choices(syllables, k=rng.randint(3, 6))) + rng.choice(ends) for _ in range(200)) for _ in range(25)]
+        at = cpu()
+        got = [r for b in run([made(texts)]) for r in b.to_pylist()]
+        spent[0] += cpu() - at
+        at = cpu()
+        ids = [dp.encode(t) for t in texts]
+        spent[1] += cpu() - at
+        want = [np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+        assert [i + (1).to_bytes(4, "little") for i in ids] == want
+        assert [(r["doc_id"], r["length"], r["ids_crc32"]) for r in got] == [(k, len(w) // 4, zlib.crc32(w)) for k, w in enumerate(want)]
+    assert spent[0] < 0.8 * spent[1], spent
+
+
+def test_packing_encoding_of_random_strings():
+    rng, bpe, lib = random.Random(6), op4_word_bpe.LibraryBpe(WORD, cached_words=50), Tokenizer.from_file(WORD)
+    for _ in range(3000):
+        t = "".join(rng.choice("aeiouthrsnd'<|>Σσ \n\t\x1c0123é́ñAB.,!?-_漢ªß²\u0558") for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_counts_are_the_librarys(docs, rows):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     got = sorted(map(str, (tuple(r) for r in op6_token_counts.count_tokens(docs, PIECE, limit=100).collect())))
