@@ -260,6 +260,15 @@ def test_features_and_shadow_model(spark, tmp_path):
             replace(Q.MODEL, **bad)
 
 
+def test_terms_that_cancel_are_a_half(spark):
+    """The terms of this row add up to 0; as doubles they leave -1.4e-16."""
+    row = [1.0, 0.0, 1.0, 1.0, 1.0, 0.8, 0.75, 1.0, 1.0, *[0.0] * 3, 1.0, 0.0, 1.0, 0.0, 1.0, 0.0, *[1.0] * 4, *[0.0] * 5, 1.0]
+    x = F.array(*map(F.lit, row))
+    at = lambda bias: X.logistic(x, Q.MODEL.coefficients, bias)
+    got = spark.range(1).select(at(Q.MODEL.bias).alias("half"), at(-800.0).alias("none"), at(800.0).alias("all")).first()
+    assert got.half == 0.5 and 0 <= got.none < 1e-300 and got["all"] == 1
+
+
 def test_training_data_and_folds(spark, tmp_path):
     cases = [(f"C{i}", f"g{i // 2 % 4}", "RISK" if i % 2 else "BENIGN", [("zorbal" if i % 2 else "hola amigo", 0.0, "x", None)] * 2) for i in range(40)]
     df = spark.createDataFrame(cases, "id string, `group` string, label string, messages array<struct<text:string,offset_s:double,sender:string,source:string>>")
