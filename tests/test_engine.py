@@ -202,6 +202,36 @@ def test_evasion_and_voice(spark):
     assert same("aaa\n\n\n😀😀😀b") == "aa\n\n\n😀😀😀b"
 
 
+def test_patterns_are_tried_where_they_may_match(spark):
+    """Texts are searched for what a pattern matches before it is tried; what it may match is never missed."""
+    assert T.words_of(r"\bonh[ae]\b") == ["onha", "onhe"] and T.words_of(r"\bist? (der|x)\b") == ["ist der", "ist x", "is der", "is x"]
+    assert not any(map(T.words_of, ("a|b", "a*", "(ab)?", "a??", "[^a]", "a.", r"\bx?\b", "(a|)?")))
+    texts = ["xonha onhe.", "\u0131st der", "\u0130s der", "i\u0307s der", "er\u017fhe", "ershe", "is  der", "K", "", None]
+    low = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("t"))
+    for r in (r"\bonh[ae]\b", r"\bist? der\b", r"\bershe?\b", "k", "a|onh"):
+        hit = F.col("t").rlike(T.js_pattern(r))
+        assert low.where(hit & ~T.may_match(F.col("t"), r)).count() == 0
+    assert low.where(T.may_match(F.col("t"), r"\bonh[ae]\b")).count() == 1
+
+
+def test_abbreviations_one_by_one_or_in_chains(spark):
+    texts = ["q! th, x-q qq q", " Q q\u00a0(q)\t\u00e9q ", "t-h q's n.d q", "regarding", "", None]
+    for pairs in (Y.NORMALIZER.abbreviations, (("q", "th q"), ("th", "q"), ("n.d", "x"), ("no", "")), (("q", "$1\\x"),), ()):
+        table = {k: v for k, v in pairs if v}
+        want = [t if t is None else " ".join(table.get(re.sub("[^a-z0-9']", "", w), w) for w in re.split(f"{T.BLANK}+", t)) for t in texts]
+        got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.expand_abbreviations(F.col("t"), pairs).alias("x"))
+        assert [r.x for r in got.orderBy("i").collect()] == want
+
+
+def test_layer_zero_is_that_of_the_analysis(spark):
+    m = messages(spark, "z\u200bor", "oieaux the", "ingst", "h0la", conv=1).unionByName(messages(spark, "le", "", conv=2))
+    cols = ("conv_id", "n0_features", "n0_rules", "n0_score")
+    rows = lambda x: sorted(map(str, x.select(*cols).collect()))
+    alone = E.layer_zero(m)
+    assert rows(alone) == rows(E.analyze(m)) and len(rows(alone)) == 2
+    assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pack_validation():
     P.validate(Y.BOTH.packs)
     P.validate_all(Y.BOTH)
