@@ -184,6 +184,17 @@ def test_evasion_markers_read_whole_texts(spark, tmp_path):
     assert got == {1: (1, 2), 2: (0, 0)}
 
 
+def test_evasion_markers_leave_texts_where_they_are(spark, tmp_path):
+    """Python is sent few bytes of texts at a time, and sends back numbers; they are those of normalized."""
+    odd = ["ｚｏｒ", "f а с t", "z o r b al", "h0la", "zor bal", "", None]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["evasion_markers"](spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == T.BATCH_BYTES
+    assert [f.dataType.typeName() for f in T.evasion_bits(spark.read.parquet(f"{tmp_path}/documents.parquet")).schema] == ["integer", "string", "byte"]
+    want = T.normalized(spark.read.parquet(f"{tmp_path}/documents.parquet"), Y.NORMALIZER)
+    assert {r.doc_id: r.markers for r in got.collect()} == {r.doc_id: r.unicode + r.spacing + r.leet for r in want.collect()}
+
+
 def test_evasion_and_voice(spark):
     def f(t, s=None):
         row = T.normalized(spark.createDataFrame([(t, s)], "text string, source string"), Y.NORMALIZER, source="source", labels=True).first()
